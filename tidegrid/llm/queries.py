@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.bpe import encode_documents
 from tidegrid.llm.common import table
 from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.topk import top_k
 
+#: The rank file of op8 and of the pipeline's last stage.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return top_k(rows, rows.filter(F.pmod("vec_id", F.lit(20)) == 0), k=20, scale=64)
 
 
-QUERIES = {"op1_topk": op1_topk}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {"op1_topk": op1_topk, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
