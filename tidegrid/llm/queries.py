@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.bpe import encode_documents
 from tidegrid.llm.common import table
+from tidegrid.llm.decontaminate import find_matches
 from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.topk import top_k
 
@@ -26,7 +27,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op1_topk": op1_topk, "op8_bpe": op8_bpe}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
