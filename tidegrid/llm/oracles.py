@@ -26,4 +26,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_topk": TOPK, "op10_chat": CHAT}
+SUBSTRING = r"""
+WITH lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+u AS (
+  SELECT doc_id, i - 1 AS unit, parts[i] AS line,
+         list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)) AS before
+  FROM lines, range(1, len(parts) + 1) AS r(i)),
+n AS (
+  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS norm FROM u),
+w AS (
+  SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n_words FROM n),
+g AS (
+  SELECT *, first_value(doc_id) OVER o AS first_doc_id, row_number() OVER o AS k, count(*) OVER (PARTITION BY norm) AS copies
+  FROM w WHERE n_words >= 10 WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit))
+SELECT doc_id, first_doc_id, unit::INTEGER AS unit, coalesce(before, 0)::INTEGER AS start, length(line)::INTEGER AS length,
+       n_words::INTEGER AS n_words, copies::BIGINT AS copies
+FROM g WHERE k > 1
+"""
+
+ORACLES = {"op1_topk": TOPK, "op5_substring": SUBSTRING, "op10_chat": CHAT}

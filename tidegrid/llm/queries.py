@@ -10,6 +10,8 @@ from tidegrid.llm.chat import format_chats, read_chats
 from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import find_matches
 from tidegrid.llm.oracles import ORACLES
+from tidegrid.llm.sharding import assign_shards
+from tidegrid.llm.substring import repeats
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -21,6 +23,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter(F.pmod("vec_id", F.lit(20)) == 0), k=20, scale=64)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
