@@ -10,6 +10,7 @@ from tidegrid.llm.chat import format_chats, read_chats
 from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import find_matches
 from tidegrid.llm.oracles import ORACLES
+from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
 from tidegrid.llm.substring import repeats
 from tidegrid.llm.topk import top_k
@@ -23,6 +24,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter(F.pmod("vec_id", F.lit(20)) == 0), k=20, scale=64)
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
 
@@ -59,7 +64,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op3_neardup": op3_neardup, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
