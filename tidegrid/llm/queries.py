@@ -13,6 +13,7 @@ from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
 from tidegrid.llm.substring import repeats
+from tidegrid.llm import toxicity
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -28,6 +29,18 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def remainder(i, n: int):
+    """crc32 of an id as text, modulo n."""
+    return F.pmod(F.crc32(i.cast("string")), F.lit(n))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic", lambda i: remainder(i, 5) != 0, toxicity.MAX_TRAIN))
+    scored = toxicity.score(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
 
@@ -64,7 +77,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_neardup": op3_neardup, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
