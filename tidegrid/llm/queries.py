@@ -13,7 +13,7 @@ from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
 from tidegrid.llm.substring import repeats
-from tidegrid.llm import toxicity
+from tidegrid.llm import quality, toxicity
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -25,6 +25,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter(F.pmod("vec_id", F.lit(20)) == 0), k=20, scale=64)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(*toxicity.labelled(docs, table(spark, sf_dir, "labels"), "quality", lambda i: remainder(i, 4) != 2, quality.MAX_TRAIN))
+    scored = quality.score(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -77,7 +84,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:

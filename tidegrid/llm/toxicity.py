@@ -12,6 +12,7 @@ A document's score is that of its worst sentence, through a fitted sigmoid.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -287,7 +288,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most:
     return [t for _, t, _ in got], np.array([y for *_, y in got], int)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -295,15 +296,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``row`` holds all columns, or those to keep.  Nothing is shuffled; repeated rows each keep a row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     row = F.struct(*[docs[c] for c in keep or docs.columns])
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
 
     def run(batches):
-        if sent.id not in _scorers:
+        if key not in _scorers:
             _scorers.clear()
-            _scorers[sent.id] = Scorer(sent.value)
-        scorer = _scorers[sent.id]
+            _scorers[key] = Scorer(sent.value)  # one for each model and worker
+        scorer = _scorers[key]
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for s in range(0, batch.num_rows, 512):
