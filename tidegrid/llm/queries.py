@@ -13,7 +13,7 @@ from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
 from tidegrid.llm.substring import repeats
-from tidegrid.llm import quality, toxicity
+from tidegrid.llm import licenses, quality, toxicity
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -52,6 +52,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -84,7 +88,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
