@@ -22,7 +22,8 @@ def feature_columns(tf: str, order, rolling: int = ROLLING) -> list[Column]:
     before = F.lag(c, 1).over(order)
     frame = order.rowsBetween(-(rolling - 1), 0)
     enough = F.count(v).over(frame) == rolling
-    z = (v - F.avg(v).over(frame)) / (F.stddev_samp(v).over(frame) + EPS)
+    same = F.max(v).over(frame) == F.min(v).over(frame)  # else rounding of the mean shows as a deviation
+    z = F.when(same, F.lit(0.0)).otherwise((v - F.avg(v).over(frame)) / (F.stddev_samp(v).over(frame) + EPS))
     got = [ratio(o - before, before), ratio(h - o, o), ratio(l - o, o), ratio(c - o, o), F.when(enough, z), ratio(h - l, o), F.abs(c - o) / (h - l + EPS)]
     return [x.alias(f"{name}_{tf}") for name, x in zip(FEATURES, got, strict=True)]
 

@@ -43,15 +43,18 @@ def mean_of(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
-def std_of(x: Column) -> Column:
-    m = mean_of(x)
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once: a lambda's variable holds its value."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def std_of(x: Column, m: Column) -> Column:
     return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
 
 
 def zscore(x: Column) -> Column:
     """An array by its own mean and population deviation, in doubles."""
-    stats = F.array(F.struct(mean_of(x).alias("m"), std_of(x).alias("s")))
-    return F.transform(x, lambda v: (v - F.element_at(stats, 1)["m"]) / (F.element_at(stats, 1)["s"] + EPS))
+    return let(mean_of(x), lambda m: let(std_of(x, m), lambda s: F.transform(x, lambda v: (v - m) / (s + EPS))))
 
 
 def normalise(windows: DataFrame) -> DataFrame:
