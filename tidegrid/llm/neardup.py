@@ -10,10 +10,10 @@ similarity 0.8 or more always share a class, as their sizes differ by a quarter
 
 *Bands.*  32 bands of 4 registers: a pair at 0.8 shares none with a probability of (1 - 0.8**4)**32 = 5e-8.
 
-*Links without all pairs.*  In each bucket the members are compared with one leader.  Confirmed links make components; a bucket
-whose members are in one component needs nothing more.  The members of the others meet new leaders for a few rounds, and what
-is still apart then is compared in full, in blocks of bounded size, on registers alone.  Candidates whose collision-corrected
-estimate is more than six standard errors below the limit go; the others are confirmed on their full sets.
+*Links without all pairs.*  In each bucket the members are compared with one leader.  Candidates whose collision-corrected
+estimate is more than six standard errors below the limit go; the others are confirmed on their full sets.  Confirmed links
+make components; a bucket whose members are in one component needs nothing more.  What shares a bucket and is still apart
+makes families, whose members are compared in full, estimate first, in blocks of bounded size that give only links that join.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from tidegrid.llm.textscan import mix, pieces, texts_of, word_bytes, words
 
 BUCKETS, BUCKET_BITS, MANTISSA, WIDTH = 128, 7, 10, 47
 BAND, ELEMENT_BITS, EMPTY = 4, 11, 0xFFFF
-LEADER_ROUNDS, BLOCK = 2, 1000
+LEADER_ROUNDS, BLOCK, BLOCK_SHINGLES = 1, 1000, 2_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int):
@@ -155,10 +155,8 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *cols).mapInArrow(run, "a binary, b binary")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b): those with 100 * intersection >= percent * union, on the full sets, which are made anew from one
-    document of each class."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, s): the shingles of each node, made anew from the text of one document of its class."""
     wanted = classes.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
 
@@ -169,7 +167,14 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # a doc_id may have rows with other texts
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"]).filter(pa.array(same, pa.bool_()))
 
-    full = texts.select("_node", "text").mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"])
+    return texts.select("_node", "text").mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b): those with 100 * intersection >= percent * union, on the full sets, which are made anew from one
+    document of each class."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = cut(full_sets(nodes, classes, docs, k, id_col, text_col))
 
     def run(batches):
         for batch in batches:
@@ -181,7 +186,6 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: full.select(F.col("node").alias(c), F.col("s").alias("s" + c))
-    full = cut(full)
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
@@ -197,38 +201,52 @@ def _to_leaders(members: DataFrame, seed: int) -> DataFrame:
     return _ordered(met.select(F.col("l.node").alias("a"), F.col("node").alias("b")))
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """All pairs across components that the registers allow, from blocks of bounded size."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("key"))
-    once = sizes.groupBy("m", "key").agg(F.min("band").alias("band"))  # buckets with the same members need one comparison
-    rows = members.join(once.select("band", "m"), "band").join(classes.select("node", "n", "regs", "low"), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+def _in_blocks(members: DataFrame, classes: DataFrame, least: float, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) that join what is still apart: all pairs of each family, which holds everything that shares a
+    bucket, compared in blocks of bounded size.  A task holds the registers and sets of two blocks, and gives a link only if
+    its ends aren't connected yet, so fewer links than rows leave it."""
+    leaders = members.groupBy("band").agg(F.min("node").alias("a"))
+    stars = cut(members.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    families = components(stars).withColumnRenamed("label", "family")
+    nodes = cut(members.select("node", "label").distinct().join(families, "node").join(classes.select("node", "n", "regs", "low"), "node"))
+    sizes = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    rows = nodes.join(full_sets(nodes.select("node"), classes, docs, k, id_col, text_col), "node").join(sizes, "family")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
-        x, y = int(pdf.x[0]), int(pdf.y[0])
-        left = pdf.index[pdf.mine == x]
-        right = pdf.index[pdf.mine == y]
-        got = []
-        cls = [dict(zip(size_classes(n), (r, w), strict=False)) for n, r, w in zip(pdf.n, pdf.regs, pdf.low, strict=True)]
-        for c in sorted({c for d in cls for c in d}):
-            here = [i for i in right if c in cls[i]]
-            if not here:
+        sets = [np.frombuffer(s, np.uint64) for s in pdf.s]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        n, label = np.diff(at), np.unique(pdf.label, return_inverse=True)[1]
+        cls = [dict(zip(size_classes(int(m)), (r, w), strict=False)) for m, r, w in zip(pdf.n, pdf.regs, pdf.low, strict=True)]
+        left, right = np.flatnonzero(pdf.mine == pdf.x), np.flatnonzero(pdf.mine == pdf.y)
+        regs, has = {}, {}
+        for c in {c for d in cls for c in d}:
+            has[c] = np.array([c in d for d in cls])
+            regs[c] = np.stack([np.frombuffer(d[c], np.uint16) if c in d else np.zeros(BUCKETS, np.uint16) for d in cls])
+        got, mark = [], np.zeros(ids.max(initial=0) + 1, bool)
+        for i in left:
+            apart = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * 5 >= np.maximum(n[right], n[i]) * 4)]
+            fine = np.zeros(len(apart), bool)
+            for c in cls[i]:
+                per = (1 << (ELEMENT_BITS - c)) / BUCKETS
+                fine |= has[c][apart] & (estimate(regs[c][i][None, :], regs[c][apart], chance(n[i] * per, n[i] * per)) >= least)
+            apart = apart[fine]
+            if not len(apart):
                 continue
-            regs = np.stack([np.frombuffer(cls[i][c], np.uint16) for i in here])
-            size, label = pdf.n.to_numpy()[here], pdf.label.to_numpy()[here]
-            per = (1 << (ELEMENT_BITS - c)) / BUCKETS
-            for i in left:
-                if c in cls[i]:
-                    n = int(pdf.n[i])
-                    fine = estimate(np.frombuffer(cls[i][c], np.uint16)[None, :], regs, chance(n * per, n * per)) >= least
-                    fine &= (label != pdf.label[i]) & (np.minimum(size, n) * 5 >= np.maximum(size, n) * 4)
-                    got += [(pdf.node[i], pdf.node[here[j]]) for j in np.flatnonzero(fine)]
+            mark[ids[at[i] : at[i + 1]]] = True
+            both = np.array([np.count_nonzero(mark[ids[at[j] : at[j + 1]]]) for j in apart])
+            mark[ids[at[i] : at[i + 1]]] = False
+            for j in apart[100 * both >= percent * (n[i] + n[apart] - both)]:
+                if label[j] != label[i]:
+                    got.append((pdf.node[i], pdf.node[j]))
+                    label[label == label[j]] = label[i]
         return pd.DataFrame(got, columns=["a", "b"])
 
-    return _ordered(rows.groupBy("band", "x", "y").applyInPandas(run, "a binary, b binary"))
+    return _ordered(rows.groupBy("family", "x", "y").applyInPandas(run, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,22 +266,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band")
     members = cut(entries.join(shared, "band").select("band", "node"))
 
-    links = tried = None
-    open_ = members.withColumn("label", F.col("node"))
+    found = None
     for round_ in range(LEADER_ROUNDS + 1):
-        pairs = _to_leaders(open_, round_) if round_ < LEADER_ROUNDS else _in_blocks(open_, classes, least)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(confirm(cut(likely(pairs, classes, least)), classes, docs, k, percent, id_col, text_col))
-        links = new if links is None else cut(links.unionByName(new))
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+        open_ = members.withColumn("label", F.col("node"))
+        if found is not None:
+            labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+            mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("band")
+            open_ = cut(labelled.join(mixed, "band"))
+            if open_.isEmpty():
+                break
+        if round_ < LEADER_ROUNDS:
+            new = cut(confirm(cut(likely(_to_leaders(open_, round_), classes, least)), classes, docs, k, percent, id_col, text_col))
+        else:
+            new = cut(_in_blocks(open_, classes, least, docs, k, percent, id_col, text_col))
+        links = new if found is None else links.unionByName(new)
         found = components(links)
-        labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("band")
-        open_ = cut(labelled.join(mixed, "band"))
-        if open_.isEmpty():
-            break
     lowest = classes.join(found, "node").groupBy("label").agg(F.min("doc_id").alias("least_id"))
     names = found.join(lowest, "label").select("node", "least_id")
     ids = classes.join(names, "node", "left").select("node", F.coalesce("least_id", "doc_id").alias("component_id"))
