@@ -25,6 +25,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 def in_blocks(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, others: DataFrame | None = None) -> DataFrame:
     """``run`` on every pair of blocks of ``rows`` and ``others`` (rows themselves, if not given)."""
     others = rows if others is None else others
+    others = others.select(*[F.col(c).alias(c) for c in others.columns])  # columns of their own, though both sides may be one table
     count = lambda d: max(1, -(-d.count() // BLOCK))
     a, b = count(rows), count(others)
     deal = lambda d, own, mine, other, n: d.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
