@@ -195,7 +195,7 @@ def choose_landmarks(texts: list[str], labels: np.ndarray) -> list[str]:
             counts.setdefault(w, [0, 0])[int(y)] += 1
         for w in {w[:n] for w in words for n in range(4, 8) if len(w) > n}:
             stems.setdefault(w, [0, 0])[int(y)] += 1
-    rate = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    rate = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
 
     def chance(n0: int, n1: int) -> float:
         """Log of about the probability that n1 or more of n0 + n1 documents are toxic by chance (Chernoff's bound)."""
