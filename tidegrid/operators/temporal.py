@@ -118,7 +118,10 @@ def master(series: dict[str, DataFrame], keys: Sequence[str] = KEYS, availabilit
 
 def halo(grid: DataFrame, rows: int, size: int, keys: Sequence[str] = KEYS, step: int = 3600) -> DataFrame:
     """``grid`` with (_bucket, _own): each row in its bucket of ``size`` consecutive grid rows, and the last ``rows`` of a
-    bucket once more, not its own, in the next.  The grid must be gap-free with ``step`` seconds between rows."""
+    bucket once more, not its own, in the next.  The grid must be gap-free with ``step`` seconds between rows, and a bucket at
+    least as long as the halo."""
+    if size < rows:
+        raise ValueError(f"buckets of {size} rows are shorter than the halo of {rows}")
     n = F.floor(epoch("ts") / step)
     b, left = F.floor(n / size), size - n % size
     copies = F.when(left <= rows, F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(b.alias("b"), F.lit(True).alias("own"))))

@@ -1,0 +1 @@
+"""Streaming is an extension: the batch operators hold without it."""
