@@ -25,9 +25,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterate: reliable checkpoint in the shared folder, so lost executors lose nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iterate: reliable checkpoint in the shared folder, so lost executors lose nothing.
+
+    A checkpoint keeps the constraints that the optimiser found, and in a loop these double with each round; so none are
+    looked for here.
+    """
+    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    checkpoint_dir(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def lower_ascii(col):
