@@ -284,7 +284,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most:
     rows = labels.select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).filter(allowed(F.col("i"))).distinct()
     rows = rows.orderBy(F.xxhash64("i"), "i", "y").limit(most)
     both = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(rows), "i")
-    got = sorted((r.i, r.t, r.y) for r in both.collect())[: 2 * most]
+    got = sorted((r.i, r.t, r.y) for r in both.groupBy("i", "y").agg(F.min("t").alias("t")).collect())  # an id with many rows counts once
     return [t for _, t, _ in got], np.array([y for *_, y in got], int)
 
 
