@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +26,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterate: reliable checkpoint in the shared folder, so lost executors lose nothing.
+    """Cut the lineage: reliable checkpoint in the shared folder, so lost executors lose nothing."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A checkpoint keeps the constraints that the optimiser found, and in a loop these double with each round; so none are
-    looked for here.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterate: a table written to the shared folder and read again.
+
+    A checkpoint keeps the plan's size estimate, which for a join is a product; in a loop that squares the estimate in each
+    round, until the driver is busy with numbers of millions of digits.  A table has its files' size.
     """
-    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
-    checkpoint_dir(spark)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(col):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,15 +13,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours (with a map-side minimum, so a node with very many
     links is no task of its own), then the label of that label, which halves the length of chains; it ends when nothing
-    changes.  Each round is checkpointed.
+    changes.  Each round is a table in the shared folder.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         root = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        step = cut(step.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
+        step = stored(step.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
         labels = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return labels

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import stored
 from tidegrid.llm.graph import components
 from tidegrid.llm.textscan import mix, pieces, texts_of, word_bytes, words
 
@@ -174,7 +174,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     """Of pairs (a, b): those with 100 * intersection >= percent * union, on the full sets, which are made anew from one
     document of each class."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    full = cut(full_sets(nodes, classes, docs, k, id_col, text_col))
+    full = stored(full_sets(nodes, classes, docs, k, id_col, text_col))
 
     def run(batches):
         for batch in batches:
@@ -206,9 +206,9 @@ def _in_blocks(members: DataFrame, classes: DataFrame, least: float, docs: DataF
     bucket, compared in blocks of bounded size.  A task holds the registers and sets of two blocks, and gives a link only if
     its ends aren't connected yet, so fewer links than rows leave it."""
     leaders = members.groupBy("band").agg(F.min("node").alias("a"))
-    stars = cut(members.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    stars = stored(members.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
     families = components(stars).withColumnRenamed("label", "family")
-    nodes = cut(members.select("node", "label").distinct().join(families, "node").join(classes.select("node", "n", "regs", "low"), "node"))
+    nodes = stored(members.select("node", "label").distinct().join(families, "node").join(classes.select("node", "n", "regs", "low"), "node"))
     sizes = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     rows = nodes.join(full_sets(nodes.select("node"), classes, docs, k, id_col, text_col), "node").join(sizes, "family")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
@@ -259,12 +259,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     assert percent >= 80, "size classes and bands are made for similarities of 0.8 and more"
     least = percent / 100 - 0.23  # six standard errors of an estimate from 128 registers
-    rows = cut(sketch(docs, k, id_col, text_col))
+    rows = stored(sketch(docs, k, id_col, text_col))
     full = rows.filter(F.col("node").isNotNull())
-    classes = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("low").alias("low")))
+    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("low").alias("low")))
     entries = bands(classes)
     shared = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band")
-    members = cut(entries.join(shared, "band").select("band", "node"))
+    members = stored(entries.join(shared, "band").select("band", "node"))
 
     found = None
     for round_ in range(LEADER_ROUNDS + 1):
@@ -272,13 +272,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if found is not None:
             labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
             mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("band")
-            open_ = cut(labelled.join(mixed, "band"))
+            open_ = stored(labelled.join(mixed, "band"))
             if open_.isEmpty():
                 break
         if round_ < LEADER_ROUNDS:
-            new = cut(confirm(cut(likely(_to_leaders(open_, round_), classes, least)), classes, docs, k, percent, id_col, text_col))
+            new = stored(confirm(stored(likely(_to_leaders(open_, round_), classes, least)), classes, docs, k, percent, id_col, text_col))
         else:
-            new = cut(_in_blocks(open_, classes, least, docs, k, percent, id_col, text_col))
+            new = stored(_in_blocks(open_, classes, least, docs, k, percent, id_col, text_col))
         links = new if found is None else links.unionByName(new)
         found = components(links)
     lowest = classes.join(found, "node").groupBy("label").agg(F.min("doc_id").alias("least_id"))
