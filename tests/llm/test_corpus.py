@@ -248,6 +248,18 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in repeated.collect()) == [1, 2]
 
 
+def test_one_row_of_a_group_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(16)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(5, a), (None, a), (None, b), (None, "  " + b.upper()), (None, c), (7, d), (7, a + " on"), (8, e), (8, e), (9, f), (9, f), (3, f), (None, None), (None, ""), (4, ""), (4, "")]
+    got = neardup.keep_one(documents(spark, [t for _, t in rows], [i for i, _ in rows]), 5)
+    assert got.columns == [x.split()[0] for x in DOCS.split(", ")]
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [x for x in got if x[1] and x[1].lower().strip() != b] == sorted([(5, a), (None, c), (7, d), (8, e), (3, f)], key=str)
+    assert sum((x[1] or "").lower().strip() == b for x in got) == 1
+    assert [x for x in got if not x[1]] == sorted([(None, None), (None, ""), (4, ""), (4, "")], key=str)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)

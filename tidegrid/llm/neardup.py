@@ -98,7 +98,8 @@ def estimate(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, regs, low): size, 16-byte digest of the set (null if empty), and registers of the size's classes."""
+    """(doc_id, digest, n, node, regs, low): the text's digest, the set's size and 16-byte digest (null if empty), and registers of
+    the size's classes."""
 
     def run(batches):
         for batch in batches:
@@ -112,9 +113,10 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     else:
                         rows.append((0, None, None, None))
             n, node, regs, low = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(regs, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "node", "regs", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(regs, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "digest", "n", "node", "regs", "low"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node binary, regs binary, low binary")
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest")).mapInArrow(run, "doc_id long, digest string, n long, node binary, regs binary, low binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -249,14 +251,8 @@ def _in_blocks(members: DataFrame, classes: DataFrame, least: float, docs: DataF
     return _ordered(rows.groupBy("family", "x", "y").applyInPandas(run, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
-
-    Words are runs without ASCII white space, A-Z in lower case.  Links are pairs with 100 * intersection >= percent * union
-    of shingle sets (percent at least 80); ``component_id`` is the smallest doc_id reachable over links.  Texts that are null
-    or without words have an empty set and no links.  Rows with equal sets, repeated rows too, are in one component.  A null
-    id is never kept unless alone with null ids.  Empty tables give no rows; other columns are ignored.
-    """
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketched rows, their classes of equal sets, and (node, label) of the classes that have links."""
     assert percent >= 80, "size classes and bands are made for similarities of 0.8 and more"
     least = percent / 100 - 0.23  # six standard errors of an estimate from 128 registers
     rows = stored(sketch(docs, k, id_col, text_col))
@@ -281,6 +277,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             new = stored(_in_blocks(open_, classes, least, docs, k, percent, id_col, text_col))
         links = new if found is None else links.unionByName(new)
         found = components(links)
+    return rows, classes, found
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+
+    Words are runs without ASCII white space, A-Z in lower case.  Links are pairs with 100 * intersection >= percent * union
+    of shingle sets (percent at least 80); ``component_id`` is the smallest doc_id reachable over links.  Texts that are null
+    or without words have an empty set and no links.  Rows with equal sets, repeated rows too, are in one component.  A null
+    id is never kept unless alone with null ids.  Empty tables give no rows; other columns are ignored.
+    """
+    rows, classes, found = _linked(docs, k, percent, id_col, text_col)
     lowest = classes.join(found, "node").groupBy("label").agg(F.min("doc_id").alias("least_id"))
     names = found.join(lowest, "label").select("node", "least_id")
     ids = classes.join(names, "node", "left").select("node", F.coalesce("least_id", "doc_id").alias("component_id"))
@@ -290,6 +298,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of the smallest id."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` with one row of each group of near duplicates, exact copies too; texts without words all stay.
+
+    The decision is one on (id, text): the smallest id stays, any id before none, and of its texts that of the smallest digest.
+    Of rows that share both, the one of the smallest hash over all columns stays.
+    """
+    rows, _, found = _linked(docs, k, percent, id_col, text_col)
+    rows = rows.filter(F.col("node").isNotNull()).select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest").alias("own"))
+    first = rows.groupBy("node").agg(F.min("own").alias("first"))
+    least = first.join(found, "node").groupBy("label").agg(F.min("first").alias("least"))
+    stays = first.join(found.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("stays"))
+    gone = rows.join(stays, "node").filter(~F.col("own").eqNullSafe(F.col("stays"))).select("own").distinct()
+    many = stored(rows.groupBy("own").count().filter("count > 1").select("own"))
+    at = lambda d: d.select(F.col("own.doc_id").alias("_i"), F.col("own.digest").alias("_d"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_i")) & F.md5(docs[text_col].cast("string")).eqNullSafe(F.col("_d"))
+    kept = docs.join(at(gone), same, "left_anti")
+    if many.isEmpty():
+        return kept
+    one = kept.join(at(many), same).groupBy("_i", "_d").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return kept.join(at(many), same, "left_anti").unionByName(one.select("_row.*"))
