@@ -306,6 +306,16 @@ def test_toxicity_with_gaps_and_inserted_characters(spark):
     assert all(s < 0.5 for s in got[:20] + got[-2:]) and all(s >= 0.5 for s in got[20:-2])
 
 
+def test_toxicity_beyond_the_bound_of_its_cache():
+    rng = random.Random(18)
+    texts = [f"{prose(rng, 9)} {w} x{k}q." for k in range(30) for w in ("idiot", "worthless")] + ["", None]
+    model = toxicity.Model(["idiot", "worthless"], np.ones(2), -1.0, 1.0, 0.0)
+    small, large = toxicity.Scorer(model, most=3), toxicity.Scorer(model)
+    for s in range(0, len(texts), 20):
+        assert small.score(texts[s : s + 20]).tolist() == large.score(texts[s : s + 20]).tolist()
+    assert len(small.seen) < len(large.seen)
+
+
 def test_kernel_equals_enumeration():
     from itertools import combinations
 

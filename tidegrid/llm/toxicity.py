@@ -132,7 +132,7 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; keeps the rows of tokens met before, up to a bound."""
+    """Scores texts; keeps the rows of tokens met before, up to a bound that only the start of a batch looks at."""
 
     def __init__(self, model: Model, most: int = 1_500_000):
         self.model, self.kernel, self.most = model, Kernel(model.landmarks), most
@@ -142,9 +142,6 @@ class Scorer:
 
     def learn(self, tokens: set[str]) -> None:
         """Compute the rows of tokens not met before.  -1 stands for a row of zeros."""
-        if len(self.seen) > self.most:
-            self.seen.clear()
-            self.table.clear()
         new = [t for t in tokens if t not in self.seen]
         forms: list[tuple[str, str]] = []
         for t in new:
@@ -174,6 +171,9 @@ class Scorer:
         return np.array(out, np.float32).reshape(len(out), len(self.model.landmarks))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+            self.table.clear()
         split = [(t or "").lower().split() for t in texts]
         self.learn({w for s in split for w in s})
         margin = np.full(len(texts), self.model.bias)
