@@ -347,6 +347,26 @@ def test_licences(spark):
             assert got[k].unit == 1 and texts[k][got[k].start : got[k].start + got[k].length] == n
 
 
+def test_licences_wrapped_over_lines(spark):
+    notes = {
+        "// Licensed under the Apache License,\n// Version 2.0 (the same for all)": "Apache-2.0",
+        " * Permission is hereby granted, free\n * of charge, to any person obtaining\n * a copy of this software": "MIT",
+        "\n".join("licensed under the GNU General Public License version 3".split()): "GPL-3.0",
+        "REM Redistribution and use in source\r\nREM and binary forms, with or without modification, are permitted": "BSD-3-Clause",
+        "// Licensed under the Apache License,\n//\n// Version 2.0": None,
+        "the public may use\nthe file of the license\nversion 2 of the text": None,
+    }
+    texts = [f"é on the\n\n{n}\n\nlast line" for n in notes]
+    got = {}
+    for r in licenses.scan(documents(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, (n, family) in enumerate(notes.items()):
+        assert [r.family for r in got.get(k, [])] == ([family] if family else [])
+        for r in got.get(k, []):
+            part = texts[k][r.start : r.start + r.length]
+            assert part == n and texts[k][: r.start].count("\n") == r.unit
+
+
 # --- pipeline
 
 

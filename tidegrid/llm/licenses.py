@@ -1,6 +1,7 @@
 """Licence scans of paragraphs by logistic regression over sparse word n-grams, confirmed against templates.
 
-A paragraph is a line.  Its features are the words and word pairs it has of those that occur in the training notices.  A
+A paragraph is a line, or, where a notice is wrapped, the neighbouring lines that hold it, none
+of them without words, and with no more than twice the template's words.  Its features are the words and word pairs it has of those that occur in the training notices.  A
 softmax over the licence families and an unknown class is trained on variants of the notices (words lost, put in or put
 around) and, as unknown, on shuffled notices, notices with the distinguishing words gone, and sentences about licences in
 general.  Its temperature is then fitted on variants that it wasn't trained on, so that confidences are calibrated.  A
@@ -150,46 +151,113 @@ def train(seed: int = 0, epochs: int = 120, rate: float = 0.5, penalty: float =
     return model
 
 
+def _windows(pairs: np.ndarray, at: np.ndarray, para: np.ndarray, line: np.ndarray, model: Model) -> list[tuple[int, int]]:
+    """(first line, last line) of runs of lines of a paragraph with enough pairs of a template, taken as far as its pairs go on.
+
+    ``at`` has the words at which pairs begin; ``para`` and ``line`` give each word's paragraph and line.
+    """
+    every = np.unique(np.concatenate([t for _, t in model.templates]))
+    k = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
+    hit = every[k] == pairs
+    k, at = k[hit], at[hit]
+    has = np.stack([np.isin(every, t) for _, t in model.templates], axis=1)
+    need = np.ceil(ALIKE * has.sum(0))
+    names, own = np.unique(para[at], return_inverse=True)
+    key = np.unique(own * len(every) + k)
+    count = np.zeros((len(names), has.shape[1]))
+    np.add.at(count, key // len(every), has[key % len(every)])
+    out = set()
+    for p, t in zip(*np.nonzero(count >= need), strict=True):
+        lo, hi = np.searchsorted(own, [p, p + 1])
+        mine = np.arange(lo, hi)[has[k[lo:hi], t]]
+        held: dict[int, int] = {}
+        left = 0
+        for right in mine:
+            held[k[right]] = held.get(k[right], 0) + 1
+            while len(held) > need[t] or held[k[mine[left]]] > 1:
+                held[k[mine[left]]] -= 1
+                if not held[k[mine[left]]]:
+                    del held[k[mine[left]]]
+                left += 1
+            if len(held) < need[t]:
+                continue
+            a, b = at[mine[left]], at[right]
+            most, seen = 2 * has[:, t].sum(), set(held)
+            for j in (*(j for j in mine if at[j] > b), *(j for j in mine[::-1] if at[j] < a)):
+                if k[j] not in seen and max(b, at[j]) - min(a, at[j]) <= most:
+                    seen.add(k[j])
+                    a, b = min(a, at[j]), max(b, at[j])
+            if line[a] < line[b + 1] and b - a <= most:
+                out.add((int(line[a]), int(line[b + 1])))
+    return sorted(out)
+
+
 def scan_texts(data: np.ndarray, at: np.ndarray, model: Model) -> list[tuple]:
-    """(row, line, start, length, family, confidence, similarity) of the confirmed lines; offsets in code points."""
+    """(row, line, start, length, family, confidence, similarity) of the confirmed lines and runs of lines; offsets in code points."""
     part, rel = data[at[0] : at[-1]], at - at[0]
     breaks = np.flatnonzero(part == 10)
     line_at = np.unique(np.concatenate([rel, breaks + 1]))
     h, first, *_ = words(part, line_at, word_bytes("alnum"))
     hh, hr, pp, pr = grams(h, first)
+    out = []
+
+    def found(a: int, b: int, q: np.ndarray, pairs: np.ndarray) -> None:
+        best = int(q.argmax())
+        if best < len(model.families) - 1 and q[best] >= CONFIDENT:
+            alike = max(float(np.isin(t, pairs).mean()) for f, t in model.templates if f == best)
+            if alike >= ALIKE:
+                out.append((-alike, b - a, a, b, best, float(q[best])))
+
     k = model.ids(pp)
     pr, pk = pr[k >= 0], k[k >= 0]
     lines = np.unique(pr)  # lines without any pair of the notices are unknown
-    if not len(lines):
+    if len(lines):
+        mine = np.zeros(len(line_at), bool)
+        mine[lines] = True
+        take = mine[hr]
+        k = model.ids(hh[take])
+        rows = np.searchsorted(lines, np.concatenate([hr[take][k >= 0], pr]))
+        ids = np.concatenate([k[k >= 0], pk])
+        p = model.probabilities(rows, ids, len(lines))
+        order = np.argsort(pr, kind="stable")
+        pr, pk = pr[order], pk[order]
+        for i in np.flatnonzero((p.argmax(axis=1) < len(model.families) - 1) & (p.max(axis=1) >= CONFIDENT)):
+            line = int(lines[i])
+            has = model.vocabulary[pk[np.searchsorted(pr, line) : np.searchsorted(pr, line, side="right")]]
+            found(line, line, p[i], has)
+    if len(h) < 2:
         return []
-    mine = np.zeros(len(line_at), bool)
-    mine[lines] = True
-    take = mine[hr]
-    hr, k = hr[take], model.ids(hh[take])
-    rows = np.searchsorted(lines, np.concatenate([hr[k >= 0], pr]))
-    ids = np.concatenate([k[k >= 0], pk])
-    p = model.probabilities(rows, ids, len(lines))
-    best = p.argmax(axis=1)
-    out = []
-    order = np.argsort(pr, kind="stable")
-    pr, pk = pr[order], pk[order]
-    for i in np.flatnonzero((best < len(model.families) - 1) & (p.max(axis=1) >= CONFIDENT)):
-        line = lines[i]
-        has = model.vocabulary[pk[np.searchsorted(pr, line) : np.searchsorted(pr, line, side="right")]]
-        alike = max(float(np.isin(t, has).mean()) for f, t in model.templates if f == best[i])
-        if alike >= ALIKE:
-            a, b = int(line_at[line]), int(line_at[line + 1])
-            row = int(np.searchsorted(rel, a, side="right")) - 1
-            head = part[int(rel[row]) : a]
-            text = part[a:b].tobytes().decode().rstrip("\n")
-            out.append((row, int((head == 10).sum()), len(head.tobytes().decode()), len(text), model.families[best[i]], float(p[i].max()), alike))
-    return out
+    new = np.zeros(len(line_at), bool)
+    new[np.searchsorted(line_at, rel)] = True
+    new[1:] |= first[1:] == first[:-1]  # after a line without words
+    para = np.cumsum(new)[hr]
+    joined = mix(h[:-1] * np.uint64(5) + h[1:])
+    inside = np.flatnonzero(para[1:] == para[:-1])
+    runs = _windows(joined[inside], inside, para, hr, model)
+    if runs:
+        sets = [np.concatenate([h[first[a] : first[b + 1]], joined[first[a] : first[b + 1] - 1]]) for a, b in runs]
+        rows, ids = np.repeat(np.arange(len(runs)), [len(x) for x in sets]), model.ids(np.concatenate(sets))
+        p = model.probabilities(rows[ids >= 0], ids[ids >= 0], len(runs))
+        for (a, b), q in zip(runs, p, strict=True):
+            found(a, b, q, joined[first[a] : first[b + 1] - 1])
+    taken: dict[int, list[tuple[int, int, int]]] = {}  # by line: what is confirmed there
+    got = []
+    for alike, _, a, b, best, q in sorted(out):  # the most alike first, then the shortest; nothing inside another, no family twice
+        if not any(f == best or (lo <= a and b <= hi) for x in range(a, b + 1) for lo, hi, f in taken.get(x, ())):
+            for x in range(a, b + 1):
+                taken.setdefault(x, []).append((a, b, best))
+            lo, hi = int(line_at[a]), int(line_at[b + 1])
+            row = int(np.searchsorted(rel, lo, side="right")) - 1
+            head = part[int(rel[row]) : lo]
+            text = part[lo:hi].tobytes().decode().rstrip("\n")
+            got.append((row, int((head == 10).sum()), len(head.tobytes().decode()), len(text), model.families[best], q, -alike))
+    return got
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, start, length, family, confidence, similarity): one row for each line that holds a known licence.
+    """(doc_id, unit, start, length, family, confidence, similarity): one row for each line, or run of lines, that holds a known licence.
 
-    Lines count from 0, offsets are code points of the whole text.  Null and empty texts have no lines; repeated rows each
+    ``unit`` is the first line; lines count from 0, offsets are code points of the whole text.  Null and empty texts have no lines; repeated rows each
     give their rows; other columns are ignored.  Nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or train())
