@@ -199,3 +199,14 @@ def test_files_round_trip(spark, tmp_path):
     assert tables.is_current(spark, str(tmp_path / "b"), known) and not tables.is_current(spark, str(tmp_path / "none"), known)
     tables.write_csv(df, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 5
+
+
+def test_distance_cv_takes_all_rows(spark):
+    x = np.random.default_rng(3).normal(size=(3300, 3)) * np.linspace(0.1, 5, 3300)[:, None]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]
+    n = np.sqrt((x * x).sum(1))
+    got = geometry.distance_cv(rows).first()
+    assert abs(got.cv_distance - d.std() / d.mean()) < 1e-9 and abs(got.cv_norm - n.std() / n.mean()) < 1e-9
+    part = geometry.distance_cv(rows, sample=100).first()
+    assert abs(part.cv_norm - n.std() / n.mean()) < 1e-9 and abs(part.cv_distance - got.cv_distance) > 1e-6

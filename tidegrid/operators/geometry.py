@@ -182,20 +182,27 @@ def canonical_correlations(a: DataFrame, b: DataFrame, ridge: float = 1e-9) -> l
     return np.linalg.svd(root(g[:width, :width]) @ g[:width, width:] @ root(g[width:, width:]), compute_uv=False).clip(0, 1).tolist()
 
 
-def distance_cv(rows: DataFrame, sample: int = 3000, seed: int = 0) -> DataFrame:
-    """(cv_distance, cv_norm): deviation over mean of all pairwise distances and of norms, of a sample of bounded size."""
-    part = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+def distance_cv(rows: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """(cv_distance, cv_norm): deviation over mean of all pairwise distances and of norms.
+
+    ``sample`` takes the distances of the rows of the smallest hashes; norms are always those of all rows.
+    """
+    part = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample) if sample else rows
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"n": [], "s": [], "q": []})
-        d = _distances(np.stack(x.v), np.stack(y.v))[x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :]]
-        return pd.DataFrame({"n": [len(d)], "s": [d.sum()], "q": [(d * d).sum()]})
+        v, w, i, j = np.stack(x.v), np.stack(y.v), x.id.to_numpy(), y.id.to_numpy()
+        got = []
+        for s in range(0, len(v), 256):
+            d = _distances(v[s : s + 256], w)[i[s : s + 256, None] < j[None, :]]
+            got.append((len(d), d.sum(), (d * d).sum()))
+        return pd.DataFrame(got, columns=["n", "s", "q"])
 
     t = in_blocks(part, run, "n long, s double, q double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, v: acc + v * v))
-    norms = part.agg((F.stddev_pop(norm) / F.avg(norm)).alias("cv_norm"))
+    norms = rows.agg((F.stddev_pop(norm) / F.avg(norm)).alias("cv_norm"))
     return t.select((F.sqrt(F.col("q") / F.col("n") - mean**2) / mean).alias("cv_distance")).join(F.broadcast(norms))
 
 
