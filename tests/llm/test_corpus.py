@@ -204,6 +204,24 @@ def test_substring_equals_brute_force(spark):
     assert substring.repeats(docs.limit(0)).count() == 0 and substring.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_every_repeated_line_is_reported(spark, tmp_path):
+    from tidegrid.llm import queries
+
+    rng = random.Random(24)
+    lines = [prose(rng, rng.randint(1, 14)) for _ in range(30)] + ["", " \t", "日本語の長い一行"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8))) for _ in range(40)] + [None, ""]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = {}, []
+    for i, t in enumerate(texts):
+        for k, x in enumerate((t or "").split("\n")):
+            if x.strip():
+                if x in seen:
+                    want.append((i, k, seen[x], len(x.split())))
+                seen.setdefault(x, i)
+    got = queries.QUERIES["op5_substring_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.unit, r.first_doc_id, r.n_words) for r in got) == sorted(want) and min(w[3] for w in want) == 1
+
+
 # --- near duplicates
 
 

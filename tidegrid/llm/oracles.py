@@ -59,4 +59,6 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLES = {"op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}
+SUBSTRING_ALL = SUBSTRING.replace("WHERE n_words >= 10", "WHERE n_words >= 1")
+
+ORACLES = {"op5_substring_all": SUBSTRING_ALL, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}

@@ -52,6 +52,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
 
 
+def op5_substring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word counts; n_words tells the short ones."""
+    return repeats(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -88,7 +93,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat, "op5_substring_all": op5_substring_all}
 
 
 def oracle_sql() -> dict[str, str]:
