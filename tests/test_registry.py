@@ -34,6 +34,21 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want) and len(got)
 
 
+@pytest.mark.parametrize("name", ["j6_cluster_artifact_all", "j7_ohlcv_with_return_all"])
+def test_queries_of_all_series_equal_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+
+
+def test_markov_models_of_all_series(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    from tidegrid.plans import models, registry
+
+    want = {r.symbol for r in models._matrix(spark, str(DATA)).select("symbol").distinct().collect()}
+    got = registry.queries()["k2_hmm"](spark, str(DATA)).collect()
+    assert {r.symbol for r in got} == want and len(want) > 1
+
+
 def test_every_oracle_has_a_query():
     from tidegrid.plans import registry
 

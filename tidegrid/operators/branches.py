@@ -22,28 +22,29 @@ def tensor(x: pd.Series) -> np.ndarray:
     return np.stack([np.stack([np.asarray(r[f], float) for f in FEATURES], axis=1) for r in x]) if len(x) else np.zeros((0, 48, len(FEATURES)))
 
 
-def train_branches(windows: DataFrame, seeds: Sequence[int] = SEEDS, done: DataFrame | None = None, most_rows: int = 200_000, **settings) -> DataFrame:
-    """The runs table: weights and history of each (tf, seed), or its error; runs in ``done`` are skipped.
+def train_branches(windows: DataFrame, seeds: Sequence[int] = SEEDS, done: DataFrame | None = None, most_rows: int = 200_000, keys: Sequence[str] = (), **settings) -> DataFrame:
+    """The runs table: weights and history of each (keys, tf, seed), or its error; runs in ``done`` are skipped.
 
-    ``windows`` has (tf, anchor, x).  A task trains on one timeframe's windows, so these are bounded by ``most_rows``; a run
+    ``windows`` has (keys, tf, anchor, x).  A task trains on one timeframe's windows of one key, so these are bounded by ``most_rows``; a run
     with more fails as such, and the others go on.
     """
-    tasks = windows.select("tf").distinct().withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    tasks = windows.select(*keys, "tf").distinct().withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     if done is not None:
-        tasks = pending(tasks, done, ("tf", "seed"))
+        tasks = pending(tasks, done, (*keys, "tf", "seed"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tf, seed = key
+        *own, tf, seed = key
         try:
             if len(pdf) > most_rows:
                 raise ValueError(f"{len(pdf)} windows; a run takes {most_rows}")
             p, h = encoder.train(tensor(pdf.sort_values("anchor").x), seed=int(seed), **settings)
-            row = (tf, seed, "done", None, len(h.losses), h.best_epoch, h.best_loss, h.losses, h.stopped, encoder.to_bytes(p))
+            row = (*own, tf, seed, "done", None, len(h.losses), h.best_epoch, h.best_loss, h.losses, h.stopped, encoder.to_bytes(p))
         except Exception as e:  # the run's own status; the other runs go on
-            row = (tf, seed, "failed", str(e), 0, -1, None, [], False, None)
-        return pd.DataFrame([row], columns=[c.split()[0] for c in RUN.split(", ")])
+            row = (*own, tf, seed, "failed", str(e), 0, -1, None, [], False, None)
+        return pd.DataFrame([row], columns=[*keys, *(c.split()[0] for c in RUN.split(", "))])
 
-    return windows.join(F.broadcast(tasks), "tf").groupBy("tf", "seed").applyInPandas(run, RUN)
+    kinds = "".join(f"{k} {dict(windows.dtypes)[k]}, " for k in keys)
+    return windows.join(F.broadcast(tasks), [*keys, "tf"]).groupBy(*keys, "tf", "seed").applyInPandas(run, kinds + RUN)
 
 
 def usable(runs: DataFrame) -> DataFrame:
@@ -62,16 +63,16 @@ def usable(runs: DataFrame) -> DataFrame:
     return runs.filter((F.col("status") == "done") & F.col("weights").isNotNull()).filter(reads("weights"))
 
 
-def encode_windows(windows: DataFrame, runs: DataFrame, keep: Sequence[str] = ("anchor", "split"), pooling: str = "full_series") -> DataFrame:
-    """(tf, seed, keep, e): each window by every completed run of its timeframe, once, for all conditions to share."""
-    models = {(r.tf, r.seed): r.weights for r in usable(runs).select("tf", "seed", "weights").collect()}  # about 1 MB a run
+def encode_windows(windows: DataFrame, runs: DataFrame, keep: Sequence[str] = ("anchor", "split"), pooling: str = "full_series", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, tf, seed, keep, e): each window by every completed run of its key and timeframe, once, for all conditions to share."""
+    models = {(tuple(r[k] for k in (*keys, "tf")), r.seed): r.weights for r in usable(runs).select(*keys, "tf", "seed", "weights").collect()}  # about 1 MB a run
     sent = windows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         made = {}
         for batch in batches:
             pdf = batch.to_pandas()
-            for tf, own in pdf.groupby("tf"):
+            for tf, own in pdf.groupby([*keys, "tf"]):
                 x = tensor(own.x)
                 for (t, seed), w in sent.value.items():
                     if t != tf:
@@ -79,13 +80,13 @@ def encode_windows(windows: DataFrame, runs: DataFrame, keep: Sequence[str] = ("
                     if (t, seed) not in made:
                         made[t, seed] = encoder.from_bytes(w)
                     e = encoder.encode(made[t, seed], x, pooling)
-                    out = own[["tf", *keep]].assign(seed=np.int32(seed), e=list(e))
-                    yield pa.RecordBatch.from_pandas(out[["tf", "seed", *keep, "e"]], schema=schema, preserve_index=False)
+                    out = own[[*keys, "tf", *keep]].assign(seed=np.int32(seed), e=list(e))
+                    yield pa.RecordBatch.from_pandas(out[[*keys, "tf", "seed", *keep, "e"]], schema=schema, preserve_index=False)
 
     kinds = dict(windows.dtypes)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ddl = "tf string, seed int, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "e array<float>"
+    ddl = "".join(f"{c} {kinds[c]}, " for c in keys) + "tf string, seed int, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "e array<float>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return windows.select("tf", *keep, "x").mapInArrow(run, ddl)
+    return windows.select(*keys, "tf", *keep, "x").mapInArrow(run, ddl)

@@ -250,30 +250,30 @@ def m14(spark, d):
 
 
 def _tagged(spark, d):
-    """Windows of all timeframes, one day apart, of one series."""
+    """Windows of all timeframes and series."""
     out = None
-    m = _matrix(spark, d).filter(F.col("symbol") == "view")
+    m = _matrix(spark, d)
     for tf in TIMEFRAMES:
-        w = windows.categorise(windows.normalise(windows.extract(m, tf, stride=24)), TRAIN_END, TEST_START)
-        w = w.select(F.lit(tf).alias("tf"), F.col("anchor"), F.col("split"), "x")
+        w = windows.categorise(windows.normalise(windows.extract(m, tf)), TRAIN_END, TEST_START)
+        w = w.select("symbol", F.lit(tf).alias("tf"), F.col("anchor"), F.col("split"), "x")
         out = w if out is None else out.unionByName(w)
     return out
 
 
 def _trained(spark, d):
     w = _tagged(spark, d)
-    return w, branches.train_branches(w.filter("split = 'train'"), SEEDS[:1], epochs=1, depth=3, hidden=16)
+    return w, branches.train_branches(w.filter("split = 'train'"), keys=("symbol",))
 
 
 @query("h5_train_branches")
 def h5(spark, d):
-    return _trained(spark, d)[1].select("tf", "seed", "status", "epochs", "best_epoch", F.round("best_loss", 3).alias("best_loss"))
+    return _trained(spark, d)[1].select("symbol", "tf", "seed", "status", "epochs", "best_epoch", F.round("best_loss", 3).alias("best_loss"))
 
 
 @query("g5_encode")
 def g5(spark, d):
-    e = branches.encode_windows(*_trained(spark, d))
-    return e.select("tf", "seed", "anchor", "split", F.size("e").alias("width"))
+    e = branches.encode_windows(*_trained(spark, d), keys=("symbol",))
+    return e.select("symbol", "tf", "seed", "anchor", "split", F.size("e").alias("width"))
 
 
 def _long(spark, d):
@@ -345,6 +345,25 @@ def j6(spark, d):
     return tidy(clustering.artifact(labels, _ohlcv(spark, d), "1TF", 42), ["open_1h", "high_1h", "low_1h", "close_1h", "volume_1h", "close_return_1h"])
 
 
+BARS_ALL = BARS_LABELS.replace("SELECT h.ts AS timestamp", "SELECT h.symbol, h.ts AS timestamp").replace(" WHERE h.symbol = 'view'", "")
+
+
+def _ohlcv_all(spark, d):
+    s = _series(spark, d)["1h"].join(_features(spark, d).select("symbol", "ts", "close_return_1h"), ["symbol", "ts"])
+    return s.select("symbol", F.col("ts").alias("timestamp"), *[F.col(c).alias(f"{c}_1h") for c in ("open", "high", "low", "close", "volume")], "close_return_1h")
+
+
+@query("j7_ohlcv_with_return_all", BARS_ALL + f" SELECT symbol, timestamp, {sql.rounded(['open_1h', 'high_1h', 'low_1h', 'close_1h', 'volume_1h', 'close_return_1h'])} FROM bars")
+def j7_all(spark, d):
+    return tidy(_ohlcv_all(spark, d), ["open_1h", "high_1h", "low_1h", "close_1h", "volume_1h", "close_return_1h"])
+
+
+@query("j6_cluster_artifact_all", BARS_ALL + f", l AS (SELECT symbol, ts AS timestamp, ((hour(ts) % 4) - 1)::INTEGER AS label FROM grid) SELECT l.symbol, l.timestamp, {sql.rounded(['open_1h', 'high_1h', 'low_1h', 'close_1h', 'volume_1h', 'close_return_1h'])}, l.label AS cluster_label, l.label = -1 AS is_noise, '1TF' AS condition, 42 AS seed FROM l LEFT JOIN bars b ON b.symbol = l.symbol AND b.timestamp = l.timestamp")
+def j6_all(spark, d):
+    labels = temporal.hour_grid(_series(spark, d)["1h"]).select("symbol", F.col("ts").alias("timestamp"), (F.hour("ts") % 4 - 1).alias("label"))
+    return tidy(clustering.artifact(labels, _ohlcv_all(spark, d), "1TF", 42, ("symbol",)), ["open_1h", "high_1h", "low_1h", "close_1h", "volume_1h", "close_return_1h"])
+
+
 @query("j8_kmeans")
 def j8(spark, d):
     v = _vectors(spark, d)
@@ -370,8 +389,8 @@ def k1(spark, d):
 
 @query("k2_hmm")
 def k2(spark, d):
-    rows = clustering.feature_vectors(_matrix(spark, d).filter(F.col("symbol") == "view"), "1h")
-    return clustering.choose_hmm(clustering.hmm_grid(rows, SEEDS[:2])).select("seed", "states", F.round("bic", 1).alias("bic"), F.size("labels").alias("n"))
+    rows = clustering.feature_vectors(_matrix(spark, d), "1h")
+    return clustering.choose_hmm(clustering.hmm_grid(rows, keys=("symbol",)), ("symbol",)).select("symbol", "seed", "states", F.round("bic", 1).alias("bic"), F.size("labels").alias("n"))
 
 
 @query("k4_kmeans_pca")
