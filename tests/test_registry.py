@@ -49,6 +49,16 @@ def test_markov_models_of_all_series(spark):
     assert {r.symbol for r in got} == want and len(want) > 1
 
 
+def test_density_grid_takes_every_setting(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    from tidegrid.operators.clustering import SAMPLES, SIZES
+    from tidegrid.plans import registry
+
+    got = registry.queries()["j3_density_grid"](spark, str(DATA)).collect()
+    assert {(r.min_cluster_size, r.min_samples) for r in got} == {(a, b) for a in SIZES for b in SAMPLES}
+
+
 def test_every_oracle_has_a_query():
     from tidegrid.plans import registry
 

@@ -314,7 +314,7 @@ def i4(spark, d):
 
 @query("j3_density_grid")
 def j3(spark, d):
-    return clustering.density_grid(_vectors(spark, d), (10, 20), (5, 10))
+    return clustering.density_grid(_vectors(spark, d))
 
 
 @query("j5_locked_density")
@@ -367,7 +367,7 @@ def j6_all(spark, d):
 @query("j8_kmeans")
 def j8(spark, d):
     v = _vectors(spark, d)
-    centres, _ = clustering.kmeans(v, 4, 42, 3)
+    centres, _ = clustering.kmeans(v)
     return clustering.nearest_centre(v, centres).select("id", "label")
 
 
@@ -397,5 +397,5 @@ def k2(spark, d):
 def k4(spark, d):
     rows = clustering.feature_vectors(_matrix(spark, d), "1h").withColumn("id", F.xxhash64("symbol", "ts")).select("id", "v")
     train, _, share = clustering.reduce(rows, rows)
-    k, _, found = clustering.select_k(train, (2, 3), restarts=2)
+    k, _, found = clustering.select_k(train)
     return spark.createDataFrame([(k, len(share), n, round(s, 4)) for n, s in found.items()], StructType.fromDDL("chosen int, components int, k int, silhouette double"))
