@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,13 @@ def lower_ascii(col):
 
 #: For bytes.translate: lower-cases A-Z and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+_held: dict = {}
+
+
+def slot(key, make: Callable):
+    """What a Python worker keeps between tasks: one object at a time, so that the next operator's takes the last one's place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

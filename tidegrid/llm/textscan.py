@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes taken at once; rows are kept whole, so a longer row makes a longer piece.
-PIECE = 4 << 20
-SEGMENT = 4 << 20
+PIECE = 1 << 20
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -75,15 +75,9 @@ def pieces(at: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first word of each row and the end, start bytes, end bytes) of the words of the rows that ``at`` delimits.
-
-    Bytes count from ``at[0]``.  A word never crosses rows.
-    """
-    data = data[at[0] : at[-1]]
-    rel = at - at[0]
+def runs(data: np.ndarray, rel: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start bytes, end bytes) of the longest runs of bytes that are inside; ``rel`` delimits rows, which no run crosses."""
     n = len(data)
-    inside = member[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edge = rel[(rel > 0) & (rel < n)]
@@ -91,7 +85,17 @@ def words(data: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndar
     finish = inside.copy()
     finish[:-1] &= ~inside[1:]
     finish[edge - 1] = inside[edge - 1]
-    a, b = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    return np.flatnonzero(begin), np.flatnonzero(finish) + 1
+
+
+def words(data: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first word of each row and the end, start bytes, end bytes) of the words of the rows that ``at`` delimits.
+
+    Bytes count from ``at[0]``.  A word never crosses rows.
+    """
+    data = data[at[0] : at[-1]]
+    rel = at - at[0]
+    a, b = runs(data, rel, member[data])
     h = np.empty(len(a), np.uint64)
     w = 0
     while w < len(a):  # segments of whole words, so that memory stays bounded in long texts
