@@ -26,23 +26,39 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-SUBSTRING = r"""
-WITH lines AS (
-  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-u AS (
-  SELECT doc_id, i - 1 AS unit, parts[i] AS line,
-         list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)) AS before
-  FROM lines, range(1, len(parts) + 1) AS r(i)),
-n AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS norm FROM u),
-w AS (
-  SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n_words FROM n),
-g AS (
-  SELECT *, first_value(doc_id) OVER o AS first_doc_id, row_number() OVER o AS k, count(*) OVER (PARTITION BY norm) AS copies
-  FROM w WHERE n_words >= 10 WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit))
-SELECT doc_id, first_doc_id, unit::INTEGER AS unit, coalesce(before, 0)::INTEGER AS start, length(line)::INTEGER AS length,
-       n_words::INTEGER AS n_words, copies::BIGINT AS copies
-FROM g WHERE k > 1
+UNITS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, md5(text) AS digest, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+cut AS (
+  SELECT r, doc_id, digest, i - 1 AS unit, parts[i] AS line, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS start
+  FROM docs, range(1, len(parts) + 1) AS k(i)),
+lines AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS norm FROM cut),
+marked AS (SELECT *, sum((norm = '')::INTEGER) OVER (PARTITION BY r ORDER BY unit) AS para FROM lines),
+units AS (
+  SELECT r, doc_id, digest, unit, unit AS last, start, length(line) AS length, norm FROM lines WHERE norm <> ''
+  UNION ALL
+  SELECT r, doc_id, digest, min(unit), max(unit), min(start), max(start + length(line)) - min(start), string_agg(norm, ' ' ORDER BY unit)
+  FROM marked WHERE norm <> '' GROUP BY r, doc_id, digest, para HAVING count(*) > 1),
+ranked AS (
+  SELECT *, len(string_split(norm, ' ')) AS n_words, first_value(doc_id) OVER o AS first_doc_id, row_number() OVER o AS k, count(*) OVER (PARTITION BY norm) AS copies
+  FROM units WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, digest, r, start, length)),
+late AS (SELECT * FROM ranked WHERE k > 1)"""
+
+SUBSTRING_UNITS = UNITS + """
+SELECT doc_id, unit::INTEGER AS unit, last::INTEGER AS last, start::INTEGER AS start, length::INTEGER AS length, n_words::INTEGER AS n_words, first_doc_id, copies::BIGINT AS copies
+FROM late
+"""
+
+SUBSTRING = UNITS + """,
+dead AS (SELECT DISTINCT r, unnest(generate_series(unit, last)) AS unit FROM late),
+full_lines AS (SELECT l.r, l.unit, l.start, length(l.line) AS length, len(string_split(l.norm, ' ')) AS w, d.unit IS NOT NULL AS gone FROM lines l LEFT JOIN dead d ON d.r = l.r AND d.unit = l.unit WHERE l.norm <> ''),
+islands AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY unit) - row_number() OVER (PARTITION BY r, gone ORDER BY unit) AS island FROM full_lines),
+spans AS (SELECT r, min(start) AS start, max(start + length) - min(start) AS length, sum(w) AS w FROM islands WHERE gone GROUP BY r, island),
+cuts AS (SELECT r, max(w) AS longest, string_agg(start || '+' || length, ',' ORDER BY start) AS spans FROM spans GROUP BY r),
+sums AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(w) AS n_words, coalesce(sum(w) FILTER (gone), 0) AS removed_words FROM full_lines GROUP BY r)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(removed_words, 0)::BIGINT AS removed_words,
+  coalesce(longest, 0)::BIGINT AS longest_removed, coalesce(longest, 0) > 50 AS repeats_passage, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN sums USING (r) LEFT JOIN cuts USING (r)
+UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, false, '' FROM documents WHERE text IS NULL
 """
 
 NEARDUP = r"""
@@ -59,6 +75,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-SUBSTRING_ALL = SUBSTRING.replace("WHERE n_words >= 10", "WHERE n_words >= 1")
-
-ORACLES = {"op5_substring_all": SUBSTRING_ALL, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}
+ORACLES = {"op5_substring_units": SUBSTRING_UNITS, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}

@@ -12,8 +12,7 @@ from tidegrid.llm.decontaminate import find_matches
 from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
-from tidegrid.llm.substring import repeats
-from tidegrid.llm import licenses, quality, toxicity
+from tidegrid.llm import licenses, quality, substring, toxicity
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -49,12 +48,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
+    rows = substring.report(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))))
+    return rows.withColumn("spans", spans)
 
 
-def op5_substring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with a word counts; n_words tells the short ones."""
-    return repeats(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "first_doc_id", "unit", "start", "length", "n_words", "copies")
+def op5_substring_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit to remove, with its original offsets and the document of the occurrence that stays."""
+    return substring.repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    rows = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False)
+    rows = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False, round_trip=False)
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -93,7 +94,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat, "op5_substring_all": op5_substring_all}
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat, "op5_substring_units": op5_substring_units}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,106 +1,154 @@
-"""Removal of repeated lines by their digests.
-
-A unit is a line.  Units are normalised (A-Z in lower case, runs of white space as one space, none at the ends) and hashed to
-128 bits; units of fewer than ``min_words`` words are left alone, as such lines recur by chance.  Digests are grouped over all
-documents with a map-side minimum, so a line that stands in most documents costs no more than a rare one; the earliest
-occurrence by (doc_id, text hash, place) stays, and every later one goes.  The repeated digests go back to their occurrences by
-a join: those with a two-thousandth of all units or more, of which there are at most two thousand, by broadcast; the others by
-shuffle.
+"""Removal of repeated lines and paragraphs by their digests.
+
+A unit is a line with any text, or a paragraph: neighbouring lines with text, where there are two or more.  Units are
+normalised (A-Z in lower case, runs of white space and line breaks as one space, none at the ends) and hashed to 128 bits, so
+a paragraph is met again however its lines are broken, as a line too.  Digests are grouped over all documents with a map-side
+minimum, so a unit that stands in most documents costs no more than a rare one; the earliest occurrence by (doc_id, text
+digest, row, place) stays, and every later one goes.  The repeated digests go back to their occurrences by a join: those with more
+than a two-thousandth of all units by broadcast, the others by shuffle.
+
+Rows get a number of their own in a table in the shared folder, so that wholly equal rows are told apart in every job.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import LOWER, cut
+from tidegrid.llm.common import LOWER, join_hot, release, stored
 
-MIN_WORDS, HOT_PARTS = 10, 2000
-UNITS = "doc_id long, text_hash long, unit int, start int, length int, n_words int, d1 long, d2 long"
+#: A removed stretch of more words counts as a passage in the report.
+PASSAGE = 50
+UNIT = "unit:int,last:int,start:int,length:int,n_words:int,d1:bigint,d2:bigint"
+_UNIT = pa.struct([*((n, pa.int32()) for n in ("unit", "last", "start", "length", "n_words")), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
-def normalise(line: str) -> str:
-    return " ".join(line.encode().translate(LOWER).decode().split())
+def normalise(text: str) -> str:
+    return " ".join(text.encode().translate(LOWER).decode().split())
 
 
-def units_of(text: str | None, min_words: int) -> list[tuple]:
-    """(unit, start, length, words, d1, d2) of a text's lines of min_words words and more; offsets in code points."""
-    out, at = [], 0
+def units_of(text: str | None) -> list[tuple]:
+    """(first line, last line, start, length, words, d1, d2) of a text's lines, then of its paragraphs; offsets in code points."""
+    lines, at = [], 0
     for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * min_words - 1:
-            norm = normalise(line)
-            n = norm.count(" ") + 1 if norm else 0
-            if n >= min_words:
-                digest = hashlib.blake2b(norm.encode(), digest_size=16).digest()
-                out.append((k, at, len(line), n, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+        lines.append((k, at, len(line), normalise(line)))
         at += len(line) + 1
-    return out
+    out = [(k, k, at, n, norm) for k, at, n, norm in lines if norm]
+    for full, group in groupby(lines, key=lambda x: bool(x[3])):
+        if full and len(group := list(group)) > 1:
+            (first, start, *_), (last, end, n, _) = group[0], group[-1]
+            out.append((first, last, start, end + n - start, " ".join(x[3] for x in group)))
+    digests = (hashlib.blake2b(u[4].encode(), digest_size=16).digest() for u in out)
+    return [(*u[:4], u[4].count(" ") + 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) for u, d in zip(out, digests, strict=True)]
+
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(n, doc_id, digest, row, units): every row with a number of its own, its columns to keep and its units."""
+    text = docs[text_col].cast("string")
+    row = F.struct(*[docs[c] for c in keep]) if keep else F.lit(None).cast("int")
+    given = docs.select(F.monotonically_increasing_id().alias("n"), docs[id_col].cast("long").alias("doc_id"), F.md5(text).alias("digest"), row.alias("row"), text.alias("text"))
 
-def units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.int32()) for n in ("unit", "start", "length", "n_words")), ("d1", pa.int64()), ("d2", pa.int64())])
+        release()
         for batch in batches:
-            rows = []
-            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows += [(i, h, *u) for u in units_of(text.as_py(), min_words)]
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            lists = [units_of(t.as_py()) for t in batch.column("text")]
+            flat = [u for x in lists for u in x]
+            columns = list(zip(*flat, strict=True)) if flat else [()] * len(_UNIT)
+            struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _UNIT, strict=True)], fields=list(_UNIT))
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("n", "doc_id", "digest", "row")), pa.ListArray.from_arrays(pa.array(ends), struct)], names=["n", "doc_id", "digest", "row", "units"])
+
+    return stored(given.mapInArrow(run, f"n long, doc_id long, digest string, row {given.schema['row'].dataType.simpleString()}, units array<struct<{UNIT}>>"))
+
+
+def _late(rows: DataFrame) -> DataFrame:
+    """(n, doc_id, unit, last, start, length, n_words, first_doc_id, copies): one row for each unit to remove."""
+    found = rows.select("n", "doc_id", "digest", F.explode("units").alias("u")).select("n", "doc_id", "digest", "u.*")
+    where = F.struct("doc_id", "digest", "n", "start", "length")
+    groups = stored(found.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
+    total = int(rows.agg(F.sum(F.size("units"))).first()[0] or 0)
+    late = join_hot(found, groups, ["d1", "d2"], "copies", total).filter(~F.col("first").eqNullSafe(where))
+    return late.select("n", "doc_id", "unit", "last", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), "copies")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, unit, last, start, length, n_words, first_doc_id, copies): one row for each unit to remove.
+
+    ``unit`` and ``last`` are its first and last line, ``start`` and ``length`` code points of the original text.  Null and empty
+    texts have no units.  A null id ranks first.  Wholly equal rows are rows of their own, of which the first stays.  Empty
+    tables give no rows; other columns are ignored.
+    """
+    return _late(_rows(docs, id_col, text_col, [])).drop("n")
+
+
+def _with_gone(rows: DataFrame) -> DataFrame:
+    gone = _late(rows).groupBy("n").agg(F.collect_list(F.struct("unit", "last")).alias("gone"))
+    return rows.join(gone, "n", "left")
 
-    text = docs[text_col].cast("string")
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, UNITS)
 
+def lines_gone(gone) -> set[int]:
+    return {k for u in gone if u is not None for k in range(u["unit"], u["last"] + 1)} if gone is not None else set()
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, unit, start, length, n_words, first_doc_id, copies): one row for each unit to remove.
 
-    ``start`` and ``length`` are code points of the original text.  Null and empty texts have no units.  A null id ranks first.
-    Rows with the same id and text are one document: their units repeat only inside it.  Empty tables give no rows; other
-    columns are ignored.
+def stretches(units, gone) -> list[tuple[int, int, int]]:
+    """(start, length, words) of each longest run of removed lines with text, in order."""
+    dead, out = lines_gone(gone), []
+    for dying, run in groupby((u for u in units if u["unit"] == u["last"]), key=lambda u: u["unit"] in dead):
+        if dying:
+            run = list(run)
+            out.append((run[0]["start"], run[-1]["start"] + run[-1]["length"] - run[0]["start"], sum(u["n_words"] for u in run)))
+    return out
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_words, removed_words, longest_removed, repeats_passage, spans): one row for each row of ``docs``.
+
+    Lines without text don't count and don't end a stretch.  ``spans`` has the start and length of each removed stretch in code
+    points of the original text, ``longest_removed`` the words of the longest, and ``repeats_passage`` says whether those are
+    more than PASSAGE.  Nulls, equal rows and empty tables are as in ``repeats``.
     """
-    found = cut(units(docs, min_words, id_col, text_col))
-    where = F.struct("doc_id", "text_hash", "unit")
-    groups = cut(found.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
-    least = max(2, found.count() // HOT_PARTS)
-    hot, cold = groups.filter(F.col("copies") >= least), groups.filter(F.col("copies") < least)
-    if hot.count() > HOT_PARTS:  # only where a two-thousandth is fewer than two units
-        hot, cold = groups.limit(0), groups
-    late = ~F.col("first").eqNullSafe(where)
-    pick = ["doc_id", "text_hash", "unit", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), "copies"]
-    by_hot = found.join(F.broadcast(hot), ["d1", "d2"]).filter(late).select(pick)
-    by_cold = found.join(F.broadcast(hot.select("d1", "d2")), ["d1", "d2"], "left_anti").join(cold, ["d1", "d2"]).filter(late).select(pick)
-    return by_hot.unionByName(by_cold)
-
-
-def remove_units(text: str, gone) -> str:
-    gone = set(gone)
-    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-
-
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    schema = "doc_id long, n_lines long, n_removed long, n_words long, removed_words long, longest_removed long, repeats_passage boolean, spans array<struct<start:int,length:int>>"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, units, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "units", "gone")), strict=True):
+                lines, dead, cut = [u for u in units if u["unit"] == u["last"]], lines_gone(gone), stretches(units, gone)
+                longest = max((w for *_, w in cut), default=0)
+                out.append((i, len(lines), len([u for u in lines if u["unit"] in dead]), sum(u["n_words"] for u in lines), sum(w for *_, w in cut), longest, longest > PASSAGE, [{"start": a, "length": n} for a, n, _ in cut]))
+            types = [*[pa.int64()] * 6, pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return _with_gone(_rows(docs, id_col, text_col, [])).select("doc_id", "units", "gone").mapInArrow(run, schema)
+
+
+def remove_lines(text: str, gone) -> str:
+    dead = lines_gone(gone)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in dead)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with later copies of units taken out of their texts, and the count of characters, if there, brought up to date.
 
     A row of which nothing but white space is left goes; a row that loses nothing stays as it is, empty or null text too.
     """
-    names = docs.columns
-    gone = repeats(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.collect_set("unit").alias("_gone"))
 
-    @F.pandas_udf("string")
-    def rest(text: pd.Series, units: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or u is None else remove_units(t, u) for t, u in zip(text, units, strict=True)], dtype=object)
+    rows = _with_gone(_rows(docs, id_col, text_col, docs.columns)).select("row", F.col("row")[text_col].cast("string").alias("text"), "gone")
+    kind = rows.schema["row"].dataType.simpleString()
 
-    text = docs[text_col].cast("string")
-    out = docs.withColumn("_i", docs[id_col].cast("long")).withColumn("_h", F.xxhash64(text)).join(gone.withColumnsRenamed({"_i": "_j", "_h": "_k"}), F.col("_i").eqNullSafe(F.col("_j")) & (F.col("_h") == F.col("_k")), "left")
-    out = out.withColumn("_left", F.when(F.col("_gone").isNotNull(), rest(F.col(text_col), F.col("_gone"))))
-    out = out.filter(F.col("_gone").isNull() | F.col("_left").rlike(r"\S"))
-    new = {text_col: F.coalesce("_left", F.col(text_col))}
-    if chars_col in names:
-        new[chars_col] = F.when(F.col("_gone").isNotNull(), F.length("_left").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in names])
+    def run(batches):
+        for batch in batches:
+            left = [None if g is None else remove_lines(t.as_py(), g) for t, g in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["row", "left"])
+
+    out = rows.mapInArrow(run, f"row {kind}, left string").filter(F.col("left").isNull() | F.col("left").rlike(r"\S"))
+    new = {text_col: F.coalesce("left", F.col("row")[text_col])}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("left").isNotNull(), F.length("left").cast(docs.schema[chars_col].dataType)).otherwise(F.col("row")[chars_col])
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
