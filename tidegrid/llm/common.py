@@ -43,6 +43,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than this part of all rows are joined by broadcast; there are fewer of them than parts.
+HOT_PARTS = 2000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row for each key and says how many of the ``total`` rows it holds.
+
+    A key with more than a two-thousandth of the rows meets them where they are; all other keys are dealt out by a shuffle, in
+    which none can fill a task.  Both sides are read more than once, so they should be tables.
+    """
+    key = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.filter(F.col(size_col) > total // HOT_PARTS).select(key).collect()] if total >= HOT_PARTS else []  # fewer than HOT_PARTS numbers
+    if not hot:
+        return rows.join(groups, keys)
+    there = key.isin(hot)
+    return rows.filter(there).join(F.broadcast(groups.filter(there)), keys).unionByName(rows.filter(~there).join(groups.filter(~there), keys))
+
+
 def lower_ascii(col):
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,3 +78,8 @@ def slot(key, make: Callable):
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def release() -> None:
+    """Called by operators that keep nothing: what the last operator kept in this worker goes."""
+    _held.clear()

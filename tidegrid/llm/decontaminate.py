@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, release
 from tidegrid.llm.textscan import pieces, texts_of, word_bytes, words
 
 #: A block of the benchmark holds about so many bytes of text; a larger benchmark is matched block after block.
@@ -168,6 +168,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col
         sent = sc.broadcast(windows(sorted((r.i, r.t) for r in part.collect()), size))
 
         def run(batches, sent=sent, last=k == blocks - 1):
+            release()
             w = sent.value
             for batch in batches:
                 data, at = texts_of(batch.column(1))

@@ -14,6 +14,9 @@ similarity 0.8 or more always share a class, as their sizes differ by a quarter
 estimate is more than six standard errors below the limit go; the others are confirmed on their full sets.  Confirmed links
 make components; a bucket whose members are in one component needs nothing more.  What shares a bucket and is still apart
 makes families, whose members are compared in full, estimate first, in blocks of bounded size that give only links that join.
+
+*Large buckets.*  A bucket or leader with more than a two-thousandth of all entries is joined by broadcast, of which only ids
+and registers are sent; a leader's full set is copied once for each such part of its pairs, which are salted.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import stored
+from tidegrid.llm.common import HOT_PARTS, join_hot, release, stored
 from tidegrid.llm.graph import components
 from tidegrid.llm.textscan import mix, pieces, texts_of, word_bytes, words
 
 BUCKETS, BUCKET_BITS, MANTISSA, WIDTH = 128, 7, 10, 47
 BAND, ELEMENT_BITS, EMPTY = 4, 11, 0xFFFF
-LEADER_ROUNDS, BLOCK, BLOCK_SHINGLES = 1, 1000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int):
@@ -102,6 +105,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     the size's classes."""
 
     def run(batches):
+        release()
         for batch in batches:
             data, at = texts_of(batch.column(1))
             rows = []
@@ -144,7 +148,7 @@ def _common(na: int, ra: bytes, la: bytes | None, nb: int, rb: bytes, lb: bytes
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b): those whose sizes and estimate allow the limit."""
+    """Of distinct pairs (a, b), of which an ``a`` may have very many: those whose sizes and estimate allow the limit."""
     side = lambda c: classes.select(F.col("node").alias(c), *[F.col(x).alias(x + c) for x in ("n", "regs", "low")])
     cols = [x + c for c in "ab" for x in ("n", "regs", "low")]
 
@@ -154,20 +158,21 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             keep = pa.array([_common(*r) >= least for r in rows], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *cols).mapInArrow(run, "a binary, b binary")
+    first = stored(pairs.groupBy("a").agg(F.count("*").alias("m")).join(side("a"), "a"))
+    return join_hot(pairs, first, ["a"], "m", pairs.count()).join(side("b"), "b").select("a", "b", *cols).mapInArrow(run, "a binary, b binary")
 
 
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, s): the shingles of each node, made anew from the text of one document of its class."""
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("node").alias("_node"))
+    text = docs[text_col].cast("string")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
 
     def sets(batches):
         for batch in batches:
             data, at = texts_of(batch.column(1))
             found = [s for lo, hi in pieces(at) for s in shingle_sets(data, at[lo : hi + 1], k)]
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # a doc_id may have rows with other texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
 
     return texts.select("_node", "text").mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"])
 
@@ -187,28 +192,23 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: full.select(F.col("node").alias(c), F.col("s").alias("s" + c))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    least = pairs.count() // HOT_PARTS + 1
+    hot = F.broadcast(stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(least)).cast("int").alias("salts")).filter("salts > 1")))  # fewer than HOT_PARTS rows
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    first = full.select(F.col("node").alias("a"), F.col("s").alias("sa")).join(hot, "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(first, ["a", "salt"]).join(full.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _to_leaders(members: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each bucket's leader and its other members; members: (band, node, label)."""
-    lead = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed)))
-    leaders = members.groupBy("band").agg(lead.alias("l"))
-    met = members.join(leaders, "band").filter((F.col("l.node") != F.col("node")) & (F.col("l.label") != F.col("label")))
-    return _ordered(met.select(F.col("l.node").alias("a"), F.col("node").alias("b")))
-
-
 def _in_blocks(members: DataFrame, classes: DataFrame, least: float, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) that join what is still apart: all pairs of each family, which holds everything that shares a
     bucket, compared in blocks of bounded size.  A task holds the registers and sets of two blocks, and gives a link only if
     its ends aren't connected yet, so fewer links than rows leave it."""
-    leaders = members.groupBy("band").agg(F.min("node").alias("a"))
-    stars = stored(members.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    stars = stored(members.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     families = components(stars).withColumnRenamed("label", "family")
     nodes = stored(members.select("node", "label").distinct().join(families, "node").join(classes.select("node", "n", "regs", "low"), "node"))
     sizes = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
@@ -257,26 +257,21 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     least = percent / 100 - 0.23  # six standard errors of an estimate from 128 registers
     rows = stored(sketch(docs, k, id_col, text_col))
     full = rows.filter(F.col("node").isNotNull())
-    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("low").alias("low")))
-    entries = bands(classes)
-    shared = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band")
-    members = stored(entries.join(shared, "band").select("band", "node"))
-
-    found = None
-    for round_ in range(LEADER_ROUNDS + 1):
-        open_ = members.withColumn("label", F.col("node"))
-        if found is not None:
-            labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-            mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("band")
-            open_ = stored(labelled.join(mixed, "band"))
-            if open_.isEmpty():
-                break
-        if round_ < LEADER_ROUNDS:
-            new = stored(confirm(stored(likely(_to_leaders(open_, round_), classes, least)), classes, docs, k, percent, id_col, text_col))
-        else:
-            new = stored(_in_blocks(open_, classes, least, docs, k, percent, id_col, text_col))
-        links = new if found is None else links.unionByName(new)
-        found = components(links)
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    classes = full.groupBy("node").agg(own.alias("own"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("low").alias("low"))
+    classes = stored(classes.select("node", "own.doc_id", "own.digest", "rows", "n", "regs", "low"))
+    entries = stored(bands(classes))
+    buckets = stored(entries.groupBy("band").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("lead")).filter("m > 1"))
+    members = stored(join_hot(entries, buckets, ["band"], "m", entries.count()).select("band", "node", "lead"))
+
+    met = stored(members.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    links = stored(_ordered(confirm(stored(likely(met, classes, least)), classes, docs, k, percent, id_col, text_col)))
+    found = components(links)
+    labelled = stored(members.join(found, "node", "left").select("band", "node", "lead", F.coalesce("label", "node").alias("label")))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
+    apart = stored(join_hot(labelled, stored(mixed.select("band", "m")), ["band"], "m", labelled.count()))
+    if not apart.isEmpty():
+        found = components(links.unionByName(_in_blocks(apart, classes, least, docs, k, percent, id_col, text_col)))
     return rows, classes, found
 
 
@@ -291,10 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows, classes, found = _linked(docs, k, percent, id_col, text_col)
     lowest = classes.join(found, "node").groupBy("label").agg(F.min("doc_id").alias("least_id"))
     names = found.join(lowest, "label").select("node", "least_id")
-    ids = classes.join(names, "node", "left").select("node", F.coalesce("least_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    ids = stored(classes.join(names, "node", "left").select("node", "rows", F.coalesce("least_id", "doc_id").alias("component_id")))
+    own = rows.filter(F.col("node").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = join_hot(rows.filter(F.col("node").isNotNull()), ids, ["node"], "rows", rows.count()).select("doc_id", "n", "component_id").unionByName(own)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,12 +298,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     The decision is one on (id, text): the smallest id stays, any id before none, and of its texts that of the smallest digest.
     Of rows that share both, the one of the smallest hash over all columns stays.
     """
-    rows, _, found = _linked(docs, k, percent, id_col, text_col)
-    rows = rows.filter(F.col("node").isNotNull()).select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest").alias("own"))
-    first = rows.groupBy("node").agg(F.min("own").alias("first"))
+    rows, classes, found = _linked(docs, k, percent, id_col, text_col)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    first = classes.select("node", "rows", own.alias("first"))
     least = first.join(found, "node").groupBy("label").agg(F.min("first").alias("least"))
-    stays = first.join(found.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("stays"))
-    gone = rows.join(stays, "node").filter(~F.col("own").eqNullSafe(F.col("stays"))).select("own").distinct()
+    stays = stored(first.join(found.join(least, "label").select("node", "least"), "node", "left").select("node", "rows", F.coalesce("least", "first").alias("stays")))
+    total, rows = rows.count(), rows.filter(F.col("node").isNotNull()).select("node", own.alias("own"))
+    gone = join_hot(rows, stays, ["node"], "rows", total).filter(~F.col("own").eqNullSafe(F.col("stays"))).select("own").distinct()
     many = stored(rows.groupBy("own").count().filter("count > 1").select("own"))
     at = lambda d: d.select(F.col("own.doc_id").alias("_i"), F.col("own.digest").alias("_d"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("_i")) & F.md5(docs[text_col].cast("string")).eqNullSafe(F.col("_d"))

@@ -30,13 +30,16 @@ _power = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    if len(_power["up"]) < n:
+    """base**i and base**-i modulo 2**64 for i below n; kept for segments of usual length only."""
+    made = dict(_power)
+    if len(made["up"]) < n:
         for k, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             f = np.full(n, b, np.uint64)
             f[0] = 1
-            _power[k] = np.multiply.accumulate(f)
-    return _power["up"], _power["down"]
+            made[k] = np.multiply.accumulate(f)
+        if n <= 2 * SEGMENT:
+            _power.update(made)
+    return made["up"], made["down"]
 
 
 def word_bytes(kind: str) -> np.ndarray:
