@@ -71,7 +71,37 @@ def test_bpe_equals_the_library():
         assert ids == theirs.encode_ordinary(text) and mine.decode_bytes(ids).decode() == text and "".join(mine.decode_stream(ids)) == text
     assert mine.encode("ab" * 5000) == theirs.encode_ordinary("ab" * 5000)
     small = bpe.Transducer(ranks, most_states=50)  # forgets its states again and again
-    assert all(list(small.encode(w.encode())) == theirs.encode_ordinary(w) for w in prose(rng, 200).split())
+    some = prose(rng, 200).split()
+    assert all(list(small.encode(w.encode())) == theirs.encode_ordinary(w) for w in some)
+    assert all(list(small.stream(w.encode())) == theirs.encode_ordinary(w) for w in some)
+    long = "".join(rng.choice(["th", "er", "é", "日", "tion"]) for _ in range(2000))
+    assert list(small.stream(long.encode())) == theirs.encode_ordinary(long) == list(small.encode(long.encode()))
+
+
+def test_bpe_borders_follow_the_defining_rule():
+    t = bpe.Transducer(bpe.load_ranks(PATH))
+    rng = random.Random(19)
+    some = [i for i in t.spelled if t.merged(t.spelled[i]) == [i]]
+    for _ in range(3000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert t._stands(a, b) == (t.merged(t.spelled[a] + t.spelled[b]) == [a, b])
+
+
+def test_bpe_stream_needs_bounded_lookahead():
+    t = bpe.Transducer(bpe.load_ranks(PATH))
+    longest, text = int(t.length.max()), prose(random.Random(20), 300).replace(" ", "").encode()
+    read, given = 0, 0
+
+    def bytes_read():
+        nonlocal read
+        for b in text:
+            read += 1
+            yield b
+
+    for i in t.stream(bytes_read()):
+        given += len(t.spelled[i])
+        assert read - given <= 2 * longest or read == len(text)
+    assert given == len(text)
 
 
 def test_utf8_machine_at_every_cut():
@@ -177,49 +207,79 @@ def test_sharding_balances_with_a_hot_text(spark):
 # --- substring
 
 
+def brute_units(text):
+    """(first line, last line, normalised text) of lines and paragraphs."""
+    lines = [" ".join(x.lower().split()) for x in (text or "").split("\n")]
+    out = [(k, k, x) for k, x in enumerate(lines) if x]
+    k = 0
+    while k < len(lines):
+        e = k
+        while e < len(lines) and lines[e]:
+            e += 1
+        if e - k > 1:
+            out.append((k, e - 1, " ".join(lines[k:e])))
+        k = e + 1
+    return out
+
+
+def brute_removed(rows):
+    """Of each row, its removed lines; rows in the order of their rank."""
+    seen, out = {}, []
+    for r, text in enumerate(rows):
+        dead = set()
+        start = [0]
+        for x in (text or "").split("\n"):
+            start.append(start[-1] + len(x) + 1)
+        for a, b, norm in sorted(brute_units(text), key=lambda u: (start[u[0]], start[u[1] + 1])):
+            if norm in seen:
+                dead |= set(range(a, b + 1))
+            seen.setdefault(norm, r)
+        out.append(dead)
+    return out
+
+
+def substring_texts(rng):
+    lines = [prose(rng, rng.randint(1, 20)) for _ in range(40)] + ["", " \t", "日本語の長い一行", ""]
+    texts = ["\n".join(rng.choice(lines).upper() if rng.random() < 0.3 else "  " + rng.choice(lines) for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    wrapped = [prose(rng, 60) for _ in range(3)]
+    for w in wrapped * 2:
+        words = w.split()
+        for k in sorted(rng.sample(range(1, 60), 4)):
+            words[k] = "\n" + words[k]
+        texts.append(prose(rng, 5) + "\n\n" + " ".join(words) + "\n \n" + prose(rng, 4))
+    return texts + [None, "", "\n\n", wrapped[0]]
+
+
 def test_substring_equals_brute_force(spark):
-    rng = random.Random(4)
-    lines = [prose(rng, rng.randint(5, 20)) for _ in range(40)]
-    texts = ["\n".join(rng.choice(lines).upper() if rng.random() < 0.3 else "  " + rng.choice(lines) for _ in range(rng.randint(0, 8))) for _ in range(60)] + [None, "", "\n\n"]
+    texts = substring_texts(random.Random(4))
+    texts += texts[:5] * 2
     docs = documents(spark, texts)
-    seen, want, rest = {}, [], {}
-    for i, t in enumerate(texts):
-        at, kept = 0, []
-        for k, x in enumerate((t or "").split("\n")):
-            n = " ".join(x.lower().split())
-            if len(n.split()) >= 10 and n in seen:
-                want.append((i, k, at, len(x), seen[n]))
-            else:
-                kept.append(x)
-                if len(n.split()) >= 10:
-                    seen[n] = i
-            at += len(x) + 1
-        rest[i] = t if t is None or len(kept) == t.count("\n") + 1 else "\n".join(kept)
-    got = substring.repeats(docs).collect()
-    assert sorted((r.doc_id, r.unit, r.start, r.length, r.first_doc_id) for r in got) == sorted(want)
+    want = brute_removed(texts)
+    got = {r.doc_id: r for r in substring.report(docs).collect()}
+    for i, (t, dead) in enumerate(zip(texts, want, strict=True)):
+        lines = (t or "").split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        assert (got[i].n_lines, got[i].n_removed, got[i].removed_words) == (len(full), len(dead & set(full)), sum(len(lines[k].split()) for k in dead))
+        parts = [t[x.start : x.start + x.length] for x in got[i].spans]
+        assert [x.strip() for p in parts for x in p.split("\n") if x.strip()] == [lines[k].strip() for k in full if k in dead]
+        assert got[i].longest_removed == max((len(p.split()) for p in parts), default=0) and got[i].repeats_passage == (got[i].longest_removed > 50)
     out = substring.drop_repeats(docs)
     assert out.columns == docs.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in rest.items() if t == texts[i] or t.strip()}
+    rest = {i: t if not dead else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead) for i, (t, dead) in enumerate(zip(texts, want, strict=True))}
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in rest.items() if not want[i] or t.strip()}
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
-    assert substring.repeats(docs.limit(0)).count() == 0 and substring.drop_repeats(docs.limit(0)).count() == 0
-
+    for f in (substring.repeats, substring.report, substring.drop_repeats):
+        assert f(docs.limit(0)).count() == 0
 
-def test_every_repeated_line_is_reported(spark, tmp_path):
-    from tidegrid.llm import queries
 
-    rng = random.Random(24)
-    lines = [prose(rng, rng.randint(1, 14)) for _ in range(30)] + ["", " \t", "日本語の長い一行"]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8))) for _ in range(40)] + [None, ""]
-    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    seen, want = {}, []
-    for i, t in enumerate(texts):
-        for k, x in enumerate((t or "").split("\n")):
-            if x.strip():
-                if x in seen:
-                    want.append((i, k, seen[x], len(x.split())))
-                seen.setdefault(x, i)
-    got = queries.QUERIES["op5_substring_all"](spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.unit, r.first_doc_id, r.n_words) for r in got) == sorted(want) and min(w[3] for w in want) == 1
+def test_substring_with_equal_rows_and_null_ids(spark):
+    line = "one line of text that stands in many rows"
+    docs = documents(spark, [line] * 4 + [line + " more", None], [3, 3, None, None, 3, None])
+    got = sorted((r.doc_id is None, r.n_removed) for r in substring.report(docs).collect())
+    assert got == [(False, 0), (False, 1), (False, 1), (True, 0), (True, 0), (True, 1)]
+    left = sorted((str(r.doc_id), str(r.text)) for r in substring.drop_repeats(docs).collect())
+    assert left == sorted([("3", line + " more"), ("None", line), ("None", "None")])
+    assert {r.first_doc_id for r in substring.repeats(docs).collect()} == {None}
 
 
 # --- near duplicates
@@ -327,27 +387,69 @@ def test_toxicity_with_gaps_and_inserted_characters(spark):
 def test_toxicity_beyond_the_bound_of_its_cache():
     rng = random.Random(18)
     texts = [f"{prose(rng, 9)} {w} x{k}q." for k in range(30) for w in ("idiot", "worthless")] + ["", None]
-    model = toxicity.Model(["idiot", "worthless"], np.ones(2), -1.0, 1.0, 0.0)
+    model = toxicity.Model(["idiot", "worthless"], np.ones(2), -1.0)
     small, large = toxicity.Scorer(model, most=3), toxicity.Scorer(model)
     for s in range(0, len(texts), 20):
-        assert small.score(texts[s : s + 20]).tolist() == large.score(texts[s : s + 20]).tolist()
-    assert len(small.seen) < len(large.seen)
+        assert small.score(pa.array(texts[s : s + 20])).tolist() == large.score(pa.array(texts[s : s + 20])).tolist()
+    assert len(small.known) < len(large.known)
 
 
-def test_kernel_equals_enumeration():
+def brute_kernel(a, b):
     from itertools import combinations
 
-    def brute(a, b):
-        total = 0.0
-        for i in combinations(range(len(a)), 3):
-            for j in combinations(range(len(b)), 3):
-                if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
-                    total += toxicity.DECAY ** (i[-1] - i[0] + j[-1] - j[0] + 2)
-        return total
+    total = 0.0
+    for i in combinations(range(len(a)), 3):
+        for j in combinations(range(len(b)), 3):
+            if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
+                total += toxicity.DECAY ** (i[-1] - i[0] + j[-1] - j[0] + 2)
+    return total
+
 
+def test_kernel_equals_enumeration():
     for a, b in (("idiot", "id.iot"), ("abcab", "bacab"), ("aaa", "aaaa")):
         got = toxicity.raw_kernel(toxicity.codes([a], 8), toxicity.codes([b], 8))[0]
-        assert abs(got - brute(a, b)) < 1e-4
+        assert abs(got - brute_kernel(a, b)) < 1e-4
+
+
+def test_toxic_sentences_equal_brute_force():
+    """Documents' features by splitting, stripping and comparing in plain Python."""
+    rng = random.Random(21)
+    marks = ["idiot", "trash", "über"]
+    bits = ["idiot", "id-iot", "idio", "TRASH!", "trashy", "(trash)", "i d i o t", "t.r-a.s h", "ÜBER", "übel", "ab", "a", "1 2 3", "\n", ". ", "? ", "x", "", "日本"]
+    texts = [" ".join(rng.choice([*bits, prose(rng, 2)]) for _ in range(rng.randint(0, 14))) for _ in range(150)] + ["", None, "\n \n"]
+    model = toxicity.Model(marks, np.array([2.0, 1.5, 1.0]), -1.2)
+
+    def pairs(w, most):
+        return {(a, b) for gap in range(1, most + 1) for a, b in zip(w, w[gap:], strict=False)}
+
+    def value(word, mark):
+        if 2 * len(pairs(word, 2) & pairs(mark, 1)) < len(pairs(mark, 1)):
+            return 0.0
+        v = brute_kernel(word, mark) / (max(brute_kernel(word, word), 1e-9) * brute_kernel(mark, mark)) ** 0.5
+        return v if v >= toxicity.FLOOR else 0.0
+
+    def forms(token):
+        w = token.lower().strip(toxicity.EDGE)
+        return [f for f in (w, "".join(filter(str.isalpha, w))) if len(f) >= 3]
+
+    got = toxicity.Scorer(model).features(*texts_of(pa.array(texts, pa.string())))
+    for text, row in zip(texts, got, strict=True):
+        margins, n = [], len((text or "").split())
+        sentences = re.split(r"(?<=[.!?])\s+|\s*\n\s*", text or "")
+        at = 0
+        spelled = {}
+        for m in re.finditer(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_](?![^\W_])){2,}", text or ""):
+            spelled.setdefault((text or "")[: m.start()], "".join(c for c in m[0] if c.isalnum()).lower())
+        for s in sentences:
+            begin = (text or "").index(s, at) if s else at
+            at = begin + len(s)
+            said = [f for t in s.split() for f in forms(t)] + [f for head, w in spelled.items() if begin <= len(head) < begin + len(s) for f in forms(w)]
+            best = [max((value(f, m) for f in said), default=0.0) for m in marks]
+            if any(best):
+                margins.append(float(np.dot(best, model.weights)) + model.bias)
+        count = sum(m > 0 for m in margins)
+        want = [min(2, max(-2, max([model.bias, *margins]))), np.log1p(count), np.log1p(100 * count / max(n, 20)), 1]
+        assert np.allclose(row, want, atol=1e-3), (text, row, want)
 
 
 def test_toxicity_without_labels(spark):
