@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidegrid.functions import density
-from tidegrid.operators import branches, clustering, fusion, geometry, statistics, temporal, windows
+from tidegrid.operators import baselines, branches, clustering, fusion, geometry, split, statistics, temporal, windows
 from tidegrid.plans import sql
 from tidegrid.plans.registry import TEST_START, TRAIN_END, _features, _matrix, _series, _vectors, query, tidy
 from tidegrid.schema import CONDITIONS, FEATURES, SEEDS, TIMEFRAMES
@@ -176,8 +176,6 @@ def m4_euclidean(spark, d):
 
 @query("m5_warping")
 def m5(spark, d):
-    import pandas as pd
-
     v = _vectors(spark, d)
     near = geometry.nearest(v, _queries(v), 5, "euclidean")
     pairs = near.join(v.select("id", "v"), "id").join(v.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
@@ -393,9 +391,40 @@ def k2(spark, d):
     return clustering.choose_hmm(clustering.hmm_grid(rows, keys=("symbol",)), ("symbol",)).select("symbol", "seed", "states", F.round("bic", 1).alias("bic"), F.size("labels").alias("n"))
 
 
+def _bar_vectors(spark, d):
+    """Hourly feature vectors of all series, split by the calendar, with an id of their own."""
+    rows = clustering.feature_vectors(_matrix(spark, d), "1h").withColumn("id", F.xxhash64("symbol", "ts"))
+    parts = split.split(rows, TRAIN_END, TEST_START)
+    return [parts.filter(F.col("split") == s).select("id", "v") for s in ("train", "test")]
+
+
 @query("k4_kmeans_pca")
 def k4(spark, d):
-    rows = clustering.feature_vectors(_matrix(spark, d), "1h").withColumn("id", F.xxhash64("symbol", "ts")).select("id", "v")
-    train, _, share = clustering.reduce(rows, rows)
-    k, _, found = clustering.select_k(train)
-    return spark.createDataFrame([(k, len(share), n, round(s, 4)) for n, s in found.items()], StructType.fromDDL("chosen int, components int, k int, silhouette double"))
+    model = baselines.fit_kmeans_pca(_bar_vectors(spark, d)[0])
+    return spark.createDataFrame([(model["k"], len(model["shares"]), int(k), round(s, 4)) for k, s in model["silhouettes"].items()], "chosen int, components int, k int, silhouette double")
+
+
+@query("k5_predict")
+def k5(spark, d):
+    train, test = _bar_vectors(spark, d)
+    return baselines.predict_kmeans_pca(test, baselines.fit_kmeans_pca(train)).select("id", "label")
+
+
+K3 = sql.feature_ctes() + """, x AS (SELECT symbol, ts, """ + ", ".join(f"{f}_1h" for f in FEATURES) + """ FROM matrix WHERE ts <= TIMESTAMP '""" + TRAIN_END + """')"""
+
+
+@query("k3_pca", K3 + " SELECT 7 AS components, round(" + " + ".join(f"var_samp({f}_1h)" for f in FEATURES) + ", 4) + 0.0 AS total_variance FROM x")
+def k3(spark, d):
+    """The principal axes keep all variance when as many are asked for as there are features."""
+    train, _ = _bar_vectors(spark, d)
+    got, _, shares = clustering.reduce(train, train)
+    return got.agg(F.lit(len(shares)).alias("components"), (F.round(sum(F.var_samp(F.element_at("v", k + 1)) for k in range(len(shares))), 4) + F.lit(0.0)).alias("total_variance"))
+
+
+@query("k6_run_all")
+def k6(spark, d):
+    """Both baselines for every seed, over all series."""
+    rows = clustering.feature_vectors(_matrix(spark, d), "1h")
+    parts = split.split(rows, TRAIN_END, TEST_START)
+    labels, chosen = baselines.run_all(parts.filter("split = 'train'"), parts.filter("split = 'test'"), keys=("symbol",))
+    return labels.groupBy("method", "symbol", "seed", "split").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
