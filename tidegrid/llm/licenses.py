@@ -1,12 +1,15 @@
 """Licence scans of paragraphs by logistic regression over sparse word n-grams, confirmed against templates.
 
-A paragraph is a line, or, where a notice is wrapped, the neighbouring lines that hold it, none
-of them without words, and with no more than twice the template's words.  Its features are the words and word pairs it has of those that occur in the training notices.  A
-softmax over the licence families and an unknown class is trained on variants of the notices (words lost, put in or put
-around) and, as unknown, on shuffled notices, notices with the distinguishing words gone, and sentences about licences in
-general.  Its temperature is then fitted on variants that it wasn't trained on, so that confidences are calibrated.  A
-prediction stands if its confidence reaches the limit and the paragraph has enough of the word pairs of one of the family's
-templates, in the templates' order of words; anything else is unknown.
+A paragraph is a run of lines with words.  Judged are its lines, and, where a notice is wrapped, the neighbouring lines that hold
+it, with no more than twice the template's words.  Features are the words and word pairs it has of those that occur in the
+training notices.  A softmax over the licence families and an unknown class is trained on variants of the notices (words lost,
+put in or put around) and, as unknown, on shuffled notices, denied notices, notices with the distinguishing words gone or
+those of a licence that isn't known in their place, and sentences about licences in general.  Its temperature is then fitted on
+variants that it wasn't trained on, so that confidences are calibrated; ``reliability`` shows how far they are, on others again.
+
+A prediction stands if its confidence reaches the limit and a template of the family confirms it: the paragraph has enough of
+the template's word pairs in one place, all the words there that tell it from alike templates of other families, none of the
+words that tell those, and no denial just before.  Anything else is unknown.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from tidegrid.llm.textscan import mix, pieces, texts_of, word_bytes, words
 
 # Short notices of public licences, by SPDX name.
 NOTICES = {
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
+    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License"],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "the Simplified BSD License"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Use of this source code is governed by a BSD-style license"],
@@ -30,15 +33,18 @@ NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0-1.0": ["Licensed under CC0 1.0", "CC0 1.0 Universal public domain dedication"],
-    "GPL-2.0": ["licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License version 2"],
-    "GPL-3.0": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License version 3"],
+    "GPL-2.0": ["licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License version 2", "modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"],
+    "GPL-3.0": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License version 3", "modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License"],
+    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0", "subject to the terms of the Mozilla Public License, v. 2.0"],
     "Proprietary": ["All rights reserved", "proprietary and confidential, unauthorized copying of this file is strictly prohibited"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+IDENTIFIER = "SPDX-License-Identifier: "
+DENIALS = ["not", "never", "isn t", "no longer", "neither", "without being"]
+OTHERS = ["Zebra", "Kite", "Example", "Northern", "Zlib", "Artistic", "version 9", "7.5"]
 PLAIN = [
     "the driver must carry a license at all times", "a license was issued to the public house last year", "the version of the report is public",
     "they released the album under a new name", "under the terms of the agreement the work is free", "this work is about the general public",
@@ -48,7 +54,11 @@ PLAIN = [
 ]
 FRAMES = ["", "This work is ", "This software is ", "Note: ", "Unless noted, content here is "]
 UNKNOWN = "unknown"
+#: Words that name a licence or its version.
+NAMES = "affero lesser apache bsd mit isc mozilla cc cc0 by sa nc attribution noncommercial sharealike simplified unlicense agpl gpl lgpl mpl proprietary 0 1 2 3 4"
 CONFIDENT, ALIKE = 0.6, 0.75
+#: Two templates of different families are alike if they share so much of their words.
+SHARED = 0.5
 
 
 def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +68,46 @@ def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h, row, mix(h[:-1] * np.uint64(5) + h[1:])[same], row[1:][same]
 
 
+@dataclass
+class Template:
+    """A notice by hashes: its distinct pairs, the words that it must and must not be found with, and its length."""
+
+    family: int
+    pairs: np.ndarray
+    must: np.ndarray
+    never: np.ndarray
+    size: int
+
+
+def notices() -> list[tuple[int, str]]:
+    """(family, text) of all notices, identifiers too."""
+    return [(k, t) for k, (name, own) in enumerate(NOTICES.items()) for t in (*own, IDENTIFIER + name)]
+
+
+def templates() -> list[Template]:
+    own = [(k, *_hashed([t])) for k, t in notices()]
+    out = []
+    for k, h, _, p, _ in own:
+        must, never = [], []
+        for j, other, *_ in own:
+            both = len(np.intersect1d(h, other))
+            if j != k and both >= SHARED * min(len(np.unique(h)), len(np.unique(other))):
+                must.append(np.setdiff1d(h, other))
+                never.append(np.setdiff1d(other, h))
+        # what an alike family lacks, if it is rare or names a licence; and what only that has, if it names one
+        mine = np.concatenate([x[1] for x in own if x[0] == k])
+        must = np.unique(np.concatenate(must)) if must else np.zeros(0, np.uint64)
+        never = np.setdiff1d(np.concatenate(never), mine) if never else np.zeros(0, np.uint64)
+        others = np.concatenate([x[1] for x in own if x[0] != k])
+        out.append(Template(k, np.unique(p), must[~np.isin(must, others) | _telling(must)], never[_telling(never)], len(h)))
+    return out
+
+
+def _telling(h: np.ndarray) -> np.ndarray:
+    """Which hashes are of numbers or of words that name a licence."""
+    return np.isin(h, _hashed([NAMES])[0])
+
+
 @dataclass
 class Model:
     families: list[str]  # the last is the unknown class
@@ -66,7 +116,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    templates: list[tuple[int, np.ndarray]]  # family, distinct pair hashes
+    templates: list[Template]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         k = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -92,18 +142,25 @@ def _variants(rng: np.random.Generator, count: int) -> tuple[list[str], list[int
     texts, label = [], []
     every = sorted({w for notices in NOTICES.values() for t in notices for w in t.split()} | {w for t in PLAIN for w in t.split()})
     soup = lambda n: " ".join(rng.choice(every, n)) if n else ""
-    for k, notices in enumerate(NOTICES.values()):
-        for t in notices:
-            for _ in range(count):
-                w = t.split()
-                if len(w) > 6 and rng.random() < 0.5:
-                    w.pop(int(rng.integers(len(w))))
-                text = str(rng.choice(FRAMES)) + " ".join(w) + str(rng.choice(["", ".", " and the notice must stay.", " " + soup(4)]))
-                texts.append(soup(int(rng.integers(6))) + " " + text if rng.random() < 0.3 else text)
-                label.append(k)
-                if rng.random() < 0.5:
-                    texts.append(" ".join(rng.permutation(t.split())))
-                    label.append(len(NOTICES))
+    names = set(NAMES.split())
+    for k, t in notices():
+        for _ in range(count):
+            w = t.split()
+            loose = [i for i, x in enumerate(w) if x.lower().strip(",.:") not in names]
+            if len(loose) > 6 and rng.random() < 0.5:
+                w.pop(int(rng.choice(loose)))
+            text = str(rng.choice(FRAMES)) + " ".join(w) + str(rng.choice(["", ".", " and the notice must stay.", " " + soup(4)]))
+            texts.append(soup(int(rng.integers(6))) + " " + text if rng.random() < 0.3 else text)
+            label.append(k)
+            if rng.random() < 0.5:
+                texts.append(" ".join(rng.permutation(t.split())))
+                label.append(len(NOTICES))
+            if rng.random() < 0.4:
+                texts.append(str(rng.choice(FRAMES)) + str(rng.choice(DENIALS)) + " " + t)
+                label.append(len(NOTICES))
+            if rng.random() < 0.3:  # a licence that isn't known
+                texts.append(" ".join(str(rng.choice(OTHERS)) if x.lower().strip(",.:") in names else x for x in t.split()) if names & {x.lower().strip(",.:") for x in t.split()} else soup(6))
+                label.append(len(NOTICES))
     for t in PLAIN * (2 * count):
         texts.append(t + " " + soup(int(rng.integers(8))))
         label.append(len(NOTICES))
@@ -117,7 +174,7 @@ def train(seed: int = 0, epochs: int = 120, rate: float = 0.5, penalty: float =
     """Full-batch gradient descent with momentum; the penalty draws weights to zero, so most stay there."""
     rng = np.random.default_rng(seed)
     texts, label = _variants(rng, 12)
-    h, hr, p, pr = _hashed(texts + PLAIN + [t for n in NOTICES.values() for t in n])
+    h, hr, p, pr = _hashed(texts + PLAIN + [t for _, t in notices()])
     vocabulary = np.unique(np.concatenate([h, p]))
     classes, n = len(NOTICES) + 1, len(texts)
     model = Model([*NOTICES, UNKNOWN], vocabulary, np.unique(p), np.zeros((len(vocabulary), classes), np.float32), np.zeros(classes, np.float32), 1.0, [])
@@ -145,22 +202,49 @@ def train(seed: int = 0, epochs: int = 120, rate: float = 0.5, penalty: float =
         got = model.probabilities(rows[ids >= 0], ids[ids >= 0], len(texts))
         loss.append(-np.log(np.maximum(got[np.arange(len(texts)), label], 1e-12)).mean())
     model.temperature = float(grid[int(np.argmin(loss))])
-    for k, notices in enumerate(NOTICES.values()):
-        for t in notices:
-            model.templates.append((k, np.unique(_hashed([t])[2])))
+    model.templates = templates()
     return model
 
 
+def reliability(model: Model, seed: int = 7, bins: int = 5) -> list[tuple[float, float, float, int]]:
+    """(least confidence, mean confidence, share that is right, count) of each bin, on variants drawn anew."""
+    texts, label = _variants(np.random.default_rng(seed), 6)
+    h, hr, p, pr = _hashed(texts)
+    rows, ids = np.concatenate([hr, pr]), np.concatenate([model.ids(h), model.ids(p)])
+    got = model.probabilities(rows[ids >= 0], ids[ids >= 0], len(texts))
+    sure, right = got.max(axis=1), got.argmax(axis=1) == np.array(label)
+    at = np.minimum((sure * bins).astype(int), bins - 1)
+    return [(b / bins, float(sure[at == b].mean()), float(right[at == b].mean()), int((at == b).sum())) for b in range(bins) if (at == b).any()]
+
+
+def similarity(h: np.ndarray, t: Template) -> float:
+    """The share of a template's pairs that the words have in one place, if that place confirms it; 0 if not."""
+    pairs = mix(h[:-1] * np.uint64(5) + h[1:])
+    hits = np.flatnonzero(np.isin(pairs, t.pairs))
+    denials = _hashed(["not never isn no neither without"])[0]
+    best = 0.0
+    for i, p in enumerate(hits.tolist()):
+        inside = hits[i : int(np.searchsorted(hits, p + 2 * t.size))]
+        share = len(np.unique(pairs[inside])) / len(t.pairs)
+        if share < ALIKE or share <= best:
+            continue
+        place = h[p : inside[-1] + 2]
+        around = h[p : inside[-1] + 5]
+        if np.isin(t.must, around).all() and not np.isin(t.never, place).any() and not np.isin(denials, h[max(0, p - 3) : p]).any():
+            best = share
+    return best
+
+
 def _windows(pairs: np.ndarray, at: np.ndarray, para: np.ndarray, line: np.ndarray, model: Model) -> list[tuple[int, int]]:
     """(first line, last line) of runs of lines of a paragraph with enough pairs of a template, taken as far as its pairs go on.
 
     ``at`` has the words at which pairs begin; ``para`` and ``line`` give each word's paragraph and line.
     """
-    every = np.unique(np.concatenate([t for _, t in model.templates]))
+    every = np.unique(np.concatenate([t.pairs for t in model.templates]))
     k = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
     hit = every[k] == pairs
     k, at = k[hit], at[hit]
-    has = np.stack([np.isin(every, t) for _, t in model.templates], axis=1)
+    has = np.stack([np.isin(every, t.pairs) for t in model.templates], axis=1)
     need = np.ceil(ALIKE * has.sum(0))
     names, own = np.unique(para[at], return_inverse=True)
     key = np.unique(own * len(every) + k)
@@ -201,13 +285,15 @@ def scan_texts(data: np.ndarray, at: np.ndarray, model: Model) -> list[tuple]:
     hh, hr, pp, pr = grams(h, first)
     out = []
 
-    def found(a: int, b: int, q: np.ndarray, pairs: np.ndarray) -> None:
+    def found(a: int, b: int, q: np.ndarray) -> None:
         best = int(q.argmax())
         if best < len(model.families) - 1 and q[best] >= CONFIDENT:
-            alike = max(float(np.isin(t, pairs).mean()) for f, t in model.templates if f == best)
+            near = h[max(first[a] - 3, first[new_row[a]]) : first[b + 1]]  # a denial may stand at the end of the line before
+            alike = max(similarity(near, t) for t in model.templates if t.family == best)
             if alike >= ALIKE:
                 out.append((-alike, b - a, a, b, best, float(q[best])))
 
+    new_row = np.searchsorted(line_at, rel)[np.searchsorted(rel, line_at, side="right") - 1]  # of each line, its row's first
     k = model.ids(pp)
     pr, pk = pr[k >= 0], k[k >= 0]
     lines = np.unique(pr)  # lines without any pair of the notices are unknown
@@ -219,12 +305,8 @@ def scan_texts(data: np.ndarray, at: np.ndarray, model: Model) -> list[tuple]:
         rows = np.searchsorted(lines, np.concatenate([hr[take][k >= 0], pr]))
         ids = np.concatenate([k[k >= 0], pk])
         p = model.probabilities(rows, ids, len(lines))
-        order = np.argsort(pr, kind="stable")
-        pr, pk = pr[order], pk[order]
         for i in np.flatnonzero((p.argmax(axis=1) < len(model.families) - 1) & (p.max(axis=1) >= CONFIDENT)):
-            line = int(lines[i])
-            has = model.vocabulary[pk[np.searchsorted(pr, line) : np.searchsorted(pr, line, side="right")]]
-            found(line, line, p[i], has)
+            found(int(lines[i]), int(lines[i]), p[i])
     if len(h) < 2:
         return []
     new = np.zeros(len(line_at), bool)
@@ -239,7 +321,7 @@ def scan_texts(data: np.ndarray, at: np.ndarray, model: Model) -> list[tuple]:
         rows, ids = np.repeat(np.arange(len(runs)), [len(x) for x in sets]), model.ids(np.concatenate(sets))
         p = model.probabilities(rows[ids >= 0], ids[ids >= 0], len(runs))
         for (a, b), q in zip(runs, p, strict=True):
-            found(a, b, q, joined[first[a] : first[b + 1] - 1])
+            found(a, b, q)
     taken: dict[int, list[tuple[int, int, int]]] = {}  # by line: what is confirmed there
     got = []
     for alike, _, a, b, best, q in sorted(out):  # the most alike first, then the shortest; nothing inside another, no family twice
