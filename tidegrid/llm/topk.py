@@ -6,7 +6,9 @@ products), and a row's score is the sum over the lists.
 1. Each block of rows gathers the heads of its local lists, with the totals of the rows on them.  The k-th best total over
    all blocks is a cutoff that the true k-th best score can't be below.
 2. The cutoff goes back to the blocks with the queries.  A row whose every partial score is below ``cutoff / lists`` has a
-   total below the cutoff, so the rows with at least one entry at or above that uniform threshold are sufficient.
+   total below the cutoff, so the rows with at least one entry at or above that uniform threshold are sufficient.  A partial
+   score is at most the product of the parts' norms, so rows whose norms stay below the threshold with every query of a
+   chunk are left out before any of their scores is computed.
 3. The remaining partial scores of just those rows are looked up and added exactly.
 
 Rows and queries meet in a grid of bounded blocks; only k rows per query and block leave a task.
@@ -25,11 +27,11 @@ LONG = np.iinfo(np.int64)
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, q array<long>) with q = floor(scale * x), x as double; rows without an id, a vector, or with a null or
-    non-finite component are left out, and exact repeats of a row count once."""
+    non-finite component are left out, and exact repeats of a row (before scaling) count once."""
     x = F.col(vector_col).cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     q = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v))
-    return df.filter(F.col(id_col).isNotNull() & x.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("id"), q.alias("q")).dropDuplicates(["id", "q"])
+    return df.filter(F.col(id_col).isNotNull() & x.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), q.alias("q")).dropDuplicates(["id", "x"]).drop("x")
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -46,9 +48,9 @@ def _parts(width: int, lists: int) -> list[slice]:
 
 
 def _exact(q: pd.DataFrame, d: pd.DataFrame, qi: np.ndarray, di: np.ndarray) -> np.ndarray:
-    """Totals in Python integers, for components too large for doubles; kept inside the range of a long."""
+    """Totals in Python integers, for components too large for doubles; one outside the range of a long is an error."""
     a, b = list(q.q), list(d.q)
-    return np.array([max(LONG.min, min(LONG.max, sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=False)))) for i, j in zip(qi, di, strict=True)], dtype=np.int64)
+    return np.array([sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=False)) for i, j in zip(qi, di, strict=True)], dtype=np.int64)
 
 
 def _best(qid, vid, score, k: int) -> pd.DataFrame:
@@ -69,16 +71,24 @@ def _phase(k: int, lists: int, last: bool):
         qm, dm = _matrix(q.q, width), _matrix(d.q, width)
         qid, vid = q.id.to_numpy("int64"), d.id.to_numpy("int64")
         safe = width == 0 or np.abs(qm).max(initial=0) * np.abs(dm).max(initial=0) * width < 2**53
+        parts = _parts(width, lists)
+        norms = [np.linalg.norm(dm[:, p], axis=1) for p in parts]
         out = []
         for at in range(0, len(q), CHUNK):
             own = slice(at, at + CHUNK)
-            mine = qid[own, None] == vid[None, :]
-            partial = [qm[own, p] @ dm[:, p].T for p in _parts(width, lists)]
+            rows = np.arange(len(d))
             if last:
                 cutoff = q.cutoff.to_numpy("float64")[own, None]  # null, where there are fewer than k rows, is NaN
                 need = np.where(np.isnan(cutoff), -np.inf, cutoff) / lists
-                if not safe:
-                    need = need - np.abs(need) * 1e-9 - 1
+                need = need - np.abs(need) * 1e-9 - (0 if safe else 1)
+                if need.min() > 0:
+                    able = [norm * np.linalg.norm(qm[own, p], axis=1).max() * (1 + 1e-9) >= need.min() for p, norm in zip(parts, norms, strict=True)]
+                    rows = np.flatnonzero(np.any(able, axis=0))
+                    if not len(rows):
+                        continue
+            mine = qid[own, None] == vid[None, rows]
+            partial = [qm[own, p] @ dm[rows, p].T for p in parts]
+            if last:
                 enough = np.zeros(mine.shape, bool)
                 for p in partial:
                     enough |= p >= need
@@ -95,12 +105,12 @@ def _phase(k: int, lists: int, last: bool):
             if safe:
                 total = sum(p[qi, di] for p in partial).astype(np.int64)
             else:
-                total = _exact(q.iloc[own], d, qi, di)
+                total = _exact(q.iloc[own], d, qi, rows[di])
             if last and safe:
                 at_least = total >= np.where(np.isnan(cutoff[qi, 0]), -np.inf, cutoff[qi, 0])
                 qi, di, total = qi[at_least], di[at_least], total[at_least]
-            out.append(_best(qid[own][qi], vid[di], total, k))
-        return pd.concat(out, ignore_index=True)
+            out.append(_best(qid[own][qi], vid[rows[di]], total, k))
+        return pd.concat(out, ignore_index=True) if out else empty
 
     return run
 
