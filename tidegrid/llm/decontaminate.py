@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Each task builds suffix arrays over shards of its documents: the positions of a shard's words, sorted by the words that
-follow.  Every suffix of every benchmark item is looked up in every shard by binary search, word by word, which gives all
-places where it occurs for at least a window's length; neighbouring places on one diagonal are joined to the longest verbatim
-match.  Only suffixes that begin with as many benchmark words as the shortest window has can be found, so the arrays hold
-just those; that drops no match.  Documents are read once and never shuffled; the benchmark travels in blocks of bounded size.
+Each task builds suffix arrays over shards of its documents: the positions of a shard's words, sorted by all the words that
+follow, by doubling the sorted length.  Every suffix of every benchmark item that is long enough for a window is looked up in
+every shard by binary search, word by word, which gives all places where it occurs for a window's length or more.  Where the
+words before differ, a place begins a longest verbatim match, which is then followed to its end.  A run of documents' words
+that the benchmark doesn't have can't be in a match, so the arrays leave those words and runs too short for a window out; that
+drops no match.  Documents are read once for each block of the benchmark, of which blocks have a bounded size, and never shuffled.
 """
 
 from __future__ import annotations
@@ -21,39 +22,55 @@ from tidegrid.llm.common import cut, release
 from tidegrid.llm.textscan import pieces, texts_of, word_bytes, words
 
 #: A block of the benchmark holds about so many bytes of text; a larger benchmark is matched block after block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 MATCHES = "array<struct<item_id:bigint,item_word:int,doc_word:bigint,n_words:int>>"
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int64()), ("n_words", pa.int32())]))
 
 
 @dataclass
-class Windows:
-    """The windows of a block: word ids (0 stands for none), lengths, and the items and offsets that each window has."""
+class Suffixes:
+    """The suffixes of a block's items: where each begins in the flat words (ids, 0 between items), how many words it has, how
+    many of them must be met, and its item and offset."""
 
     vocabulary: np.ndarray
-    ids: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
     length: np.ndarray
-    items: list[np.ndarray]
-    offsets: list[np.ndarray]
+    depth: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
 
 
-def windows(items: list[tuple[int, str]], size: int) -> Windows | None:
-    """Distinct windows of ``size`` words; an item of fewer words is one window, one without words none."""
+def suffixes(items: list[tuple[int, str]], size: int) -> Suffixes | None:
+    """All suffixes of ``size`` words or more; an item of fewer words has one, one without words none."""
     data, at = texts_of(pa.array([t or "" for _, t in items], pa.string()))
     h, first, *_ = words(data, at, word_bytes("alnum"))
     if not len(h):
         return None
     vocabulary, ids = np.unique(h, return_inverse=True)
-    ids = ids.astype(np.int32) + 1
-    found: dict[tuple, list] = {}
-    for k, (item, _) in enumerate(items):
-        own = ids[first[k] : first[k + 1]]
-        for j in range(max(1, len(own) - size + 1) if len(own) else 0):
-            found.setdefault(tuple(own[j : j + size].tolist()), []).append((item, j))
-    table = np.zeros((len(found), size), np.int32)
-    for k, w in enumerate(found):
-        table[k, : len(w)] = w
-    return Windows(vocabulary, table, np.array([len(w) for w in found]), [np.array([i for i, _ in x], np.int64) for x in found.values()], [np.array([j for _, j in x], np.int32) for x in found.values()])
+    n = np.diff(first)
+    flat = np.zeros(len(ids) + len(items) + 1, np.int32)
+    place = np.arange(len(ids)) + np.repeat(np.arange(len(items)), n) + 1
+    flat[place] = ids + 1
+    many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    own = np.repeat(np.arange(len(items)), many)
+    offset = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+    length = n[own] - offset
+    return Suffixes(vocabulary, flat, first[own] + own + 1 + offset, length, np.minimum(length, size), np.array([i for i, _ in items], np.int64)[own], offset)
+
+
+def suffix_array(seq: np.ndarray, room: np.ndarray, place: np.ndarray, longest: int) -> np.ndarray:
+    """The places in the order of the words from there to the end of their run, ``longest`` of them at most.  Places are whole
+    runs, so the word after a place is at the next one."""
+    rank, k = seq[place].astype(np.int64), 1
+    while k < longest and len(place):
+        after = np.where(room[place] > k, rank[np.minimum(np.arange(len(place)) + k, len(place) - 1)], 0)
+        distinct, rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)
+        rank = rank + 1
+        if len(distinct) == len(place):
+            break
+        k *= 2
+    return place[np.argsort(rank, kind="stable")]
 
 
 def _bisect(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
@@ -68,34 +85,46 @@ def _bisect(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray
     return lo
 
 
-def search(seq: np.ndarray, room: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word position) of all occurrences.  seq: word ids, 0 outside the vocabulary; room: vocabulary words from here
-    to the end of the run."""
-    size = w.ids.shape[1]
-    place = np.flatnonzero(room >= w.length.min())
-    if not len(place):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.concatenate([seq, np.zeros(size, seq.dtype)])
-    column = lambda d: np.where(room[place] > d, padded[place + d], 0)
-    place = place[np.lexsort([column(d) for d in range(size - 1, -1, -1)])]  # the suffix array, to a window's depth
-    who = np.arange(len(w.length))
+def search(seq: np.ndarray, room: np.ndarray, w: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, word position, words) of all longest matches.  seq: word ids, 0 outside the vocabulary; room: vocabulary words
+    from here to the end of the run."""
+    least, depth = int(w.depth.min()), int(w.depth.max())
+    head = np.flatnonzero((room > 0) & np.concatenate([[True], room[:-1] <= 1])) if len(room) else np.zeros(0, np.int64)
+    head = head[room[head] >= least]
+    none = np.zeros(0, np.int64)
+    if not len(head):
+        return none, none, none
+    run = np.repeat(head - np.concatenate([[0], np.cumsum(room[head])[:-1]]), room[head]) + np.arange(room[head].sum())
+    place = suffix_array(seq, room, run, int(w.length.max()))
+    column = lambda d: np.where(room[place] > d, seq[np.minimum(place + d, len(seq) - 1)], 0)
+    who = np.arange(len(w.start))
     lo, hi = np.zeros(len(who), np.int64), np.full(len(who), len(place))
     done = []
-    for d in range(size):
-        full = w.length[who] == d
+    for d in range(depth + 1):
+        full = w.depth[who] == d
         done.append((who[full], lo[full], hi[full]))
         who, lo, hi = who[~full], lo[~full], hi[~full]
         if not len(who):
             break
-        c, want = column(d), w.ids[who, d]
+        c, want = column(d), w.words[w.start[who] + d]
         lo, hi = _bisect(c, lo, hi, want, False), _bisect(c, lo, hi, want, True)
         live = lo < hi
         who, lo, hi = who[live], lo[live], hi[live]
-    done.append((who, lo, hi))
     who, lo, hi = (np.concatenate(x) for x in zip(*done, strict=True))
     n = hi - lo
-    start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
-    return np.repeat(who, n), place[start + np.arange(n.sum())]
+    spot = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else none
+    who, at = np.repeat(who, n), place[spot]
+    begins = (at == 0) | (w.offset[who] == 0)
+    begins |= (room[at - 1] <= 1) | (seq[at - 1] != w.words[w.start[who] - 1])  # not the same words, or not of the same run
+    who, at = who[begins], at[begins]
+    long, going = w.depth[who].copy(), np.arange(len(who))
+    while len(going):
+        k = long[going]
+        going = going[(k < w.length[who[going]]) & (k < room[at[going]])]
+        k = long[going]
+        going = going[seq[at[going] + k] == w.words[w.start[who[going]] + k]]
+        long[going] += 1
+    return who, at, long
 
 
 def _room(seq: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -110,30 +139,18 @@ def _room(seq: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(seq > 0, nxt - here, 0)
 
 
-def matches_of(data: np.ndarray, at: np.ndarray, w: Windows) -> tuple[np.ndarray, dict[int, list[tuple]]]:
+def matches_of(data: np.ndarray, at: np.ndarray, w: Suffixes) -> tuple[np.ndarray, dict[int, list[tuple]]]:
     """Words of each row, and of each row with matches the longest verbatim matches (item_id, item_word, doc_word, n_words)."""
     h, first, *_ = words(data, at, word_bytes("alnum"))
     count = np.diff(first)
     k = np.minimum(np.searchsorted(w.vocabulary, h), len(w.vocabulary) - 1)
     seq = np.where(w.vocabulary[k] == h, k + 1, 0).astype(np.int32)
-    which, place = search(seq, _room(seq, first), w)
-    if not len(which):
-        return count, {}
-    per = np.array([len(x) for x in w.items])[which]
-    pick = [w.items[x] for x in which], [w.offsets[x] for x in which]
-    item, offset = np.concatenate(pick[0]), np.concatenate(pick[1]).astype(np.int64)
-    place, length = np.repeat(place, per), np.repeat(w.length[which], per)
+    which, place, long = search(seq, _room(seq, first), w)
     row = np.searchsorted(first, place, side="right") - 1
-    order = np.lexsort((place, place - offset, item, row))
-    row, item, offset, place, length = (x[order] for x in (row, item, offset, place, length))
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - offset[1:] != place[:-1] - offset[:-1]) | (place[1:] > place[:-1] + length[:-1])
-    head = np.flatnonzero(new)
-    end = np.maximum.reduceat(place + length, head)
     out: dict[int, list[tuple]] = {}
-    for r, i, o, p, e in zip(row[head].tolist(), item[head].tolist(), offset[head].tolist(), place[head].tolist(), end.tolist(), strict=True):
-        out.setdefault(r, []).append((i, o, p - int(first[r]), e - p))
-    return count, out
+    for r, i, o, p, n in zip(row.tolist(), w.item[which].tolist(), w.offset[which].tolist(), (place - first[row]).tolist(), long.tolist(), strict=True):
+        out.setdefault(r, []).append((i, o, p, n))
+    return count, {r: sorted(m) for r, m in out.items()}
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -165,7 +182,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col
     kind = schema["row"].dataType.simpleString()
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else bench
-        sent = sc.broadcast(windows(sorted((r.i, r.t) for r in part.collect()), size))
+        sent = sc.broadcast(suffixes(sorted((r.i, r.t) for r in part.collect()), size))
 
         def run(batches, sent=sent, last=k == blocks - 1):
             release()
