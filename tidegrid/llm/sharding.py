@@ -2,8 +2,8 @@
 
 Rows are ordered by (hash of the text, id, tie-breaker), so equal texts stand together.  A size-weighted sample of keys gives
 splitters at quantiles of the bytes; the exact bytes and rows of each range are then counted, and a row's place in the whole
-order is its range's offset plus a running sum inside the range.  Shard s takes what starts in the s-th of the equal parts of
-all bytes.  A text that the sample meets often makes an overfull range, which is cut again by id and tie-breaker; other equal
+order is its range's offset plus a running sum inside the range.  Shard s takes what has its middle in the s-th of the equal
+parts of all bytes.  A text that the sample meets often makes an overfull range, which is cut again by id and tie-breaker; other equal
 texts are never cut by a splitter, and stay in one shard if they hold little of one.
 """
 
@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, stored
 
 RANGES_PER_SHARD, OVERSAMPLE, CELL_BITS = 16, 32, 10
+#: Ranges grow with the rows, so that a range is a task; the driver sees OVERSAMPLE keys of each.
+ROWS_PER_RANGE, MOST_RANGES = 500_000, 20_000
+#: Equal texts stay together up to this part of a shard.
+TOGETHER = 20
 LOWEST = -(1 << 63)
 OWN_BYTES = 16
 
@@ -39,7 +43,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, *carry): law `bytes`, one row for each row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus 16; null texts count as empty, null ids sort first.  Shards differ from an equal
-    share by about a hundredth of it and one row at most.  Slots are gapless from 0 in each shard.  Wholly equal rows are rows
+    share by about a twentieth of it, or the largest row, at most.  Slots are gapless from 0 in each shard.  Wholly equal rows are rows
     of their own.  Empty tables give no rows; with fewer rows than shards some shards stay empty.
     """
     spark = docs.sparkSession
@@ -52,8 +56,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.xxhash64(F.monotonically_increasing_id()).alias("u"),
         *[docs[c] for c in carry],
     ).withColumn("i", F.coalesce("doc_id", F.lit(LOWEST)))
-    total = int(rows.agg(F.sum("size")).first()[0] or 0)
-    ranges = shards * RANGES_PER_SHARD
+    rows = stored(rows)  # the tie-breaker must not change from one job to the next
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = max(shards * RANGES_PER_SHARD, min(count // ROWS_PER_RANGE, MOST_RANGES))
     share = F.col("size") * F.lit(float(ranges * OVERSAMPLE) / max(total, 1))
     draw = (F.xxhash64("h", "i", "u", F.lit(1)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / float(1 << 52)
     sample = rows.filter(draw < share).select("h", "i", "u", F.greatest(share, F.lit(1.0)).alias("w")).collect()
@@ -82,8 +87,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     text_group = Window.partitionBy("range", "h")
     rows = rows.withColumn("start", F.sum("size").over(upto) - F.col("size")).withColumn("k", F.row_number().over(order))
     rows = rows.withColumn("group_start", F.min("start").over(text_group)).withColumn("group_size", F.sum("size").over(text_group))
-    whole = F.col("group_size") <= F.lit(b // shards // 100)
-    place = F.col("before") + F.when(whole, F.col("group_start")).otherwise(F.col("start"))
+    whole = F.col("group_size") * F.lit(TOGETHER * shards) <= F.lit(b)
+    middle = lambda start, size: F.col(start) + F.floor(F.col(size) / 2)
+    place = F.col("before") + F.when(whole, middle("group_start", "group_size")).otherwise(middle("start", "size"))
     shard = F.least(F.floor(place * F.lit(shards) / F.lit(max(b, 1))), F.lit(shards - 1)).cast("int")
     rows = cut(rows.join(at, "range").select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("k") - 1).alias("place"), *carry))
     first = rows.groupBy("shard").agg(F.min("place").alias("first"))  # one row for each shard
