@@ -1,6 +1,6 @@
 """Quality by supervised subword embeddings.
 
-A document is the average of the learned vectors of its words, word pairs and byte n-grams of two to four, all hashed into
+A document is the average of the learned vectors of its words, word pairs and character n-grams of two to four, all hashed into
 one table; a softmax over the average gives the label's probability.  Table and softmax are fitted by stochastic gradient descent
 in numpy, on a bounded sample of labelled documents.  For scoring, the product of the table with the softmax's weights is one
 number a bucket, so a document's logit is the mean of its features' numbers: whole texts are scored without a Python loop over
@@ -39,7 +39,7 @@ class Model:
 
 def features(data: np.ndarray, at: np.ndarray):
     """(buckets, first feature of each row and the end) for each kind of feature: words, pairs of words, in which a word that
-    follows itself has one bucket for all words, then n-grams of 2, 3 and 4 bytes.  None cross rows."""
+    follows itself has one bucket for all words, then n-grams of 2, 3 and 4 characters.  None cross rows."""
     h, first, *_ = words(data, at, word_bytes("space"))
     yield (h >> np.uint64(64 - BITS)).astype(np.int32), first
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(64 - BITS)
@@ -47,12 +47,13 @@ def features(data: np.ndarray, at: np.ndarray):
     inside = np.ones(len(pair), bool)
     inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= len(pair))] - 1] = False
     yield pair[inside], np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(first) - 1))])
-    part, rel = data[at[0] : at[-1]], at - at[0]
-    b = part.astype(np.uint32)
+    part = data[at[0] : at[-1]]
+    b = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)  # characters
+    rel = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[at - at[0]]
     lengths = np.diff(rel)
     gram = b
     for n in (2, 3, 4):
-        gram = gram[:-1] | (b[n - 1 :] << np.uint32(8 * (n - 1))) if len(gram) > 1 else gram[:0]
+        gram = gram[:-1] * np.uint32(0x01000193) + b[n - 1 :] if len(gram) > 1 else gram[:0]
         bucket = ((gram * np.uint32(0x9E3779B1 + 2 * n)) >> np.uint32(32 - BITS)).astype(np.int32)
         keep = np.ones(len(bucket), bool)
         for back in range(1, n):  # those that would reach into the next row
