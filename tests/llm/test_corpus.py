@@ -54,6 +54,25 @@ def test_topk_of_huge_components_is_exact(spark):
     assert [(r.vec_id, r.score) for r in got] == [(2, 2**46 * 2**16 + 64 * 256), (1, 2**46 * 2**16 + 64 * 192)]
 
 
+def test_topk_keeps_rows_that_are_equal_only_after_scaling(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.501, 0.5]), (1, [0.501, 0.5]), (2, [0.1, 0.1])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 64 * 64), (1, 64 * 64), (2, 64 * 12)]
+
+
+def test_topk_prunes_by_norms_and_stays_exact(spark):
+    rng = np.random.default_rng(3)
+    x = [(i, [float(v) for v in rng.normal(size=8) * rng.choice([0.01, 0.1, 1, 30])]) for i in range(400)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    q = {i: np.floor(64 * np.array(v)).astype(int) for i, v in x}
+    got = {}
+    for r in topk.top_k(df, df.filter("vec_id % 20 = 0"), k=9, lists=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 400, 20):
+        best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:9]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 # --- BPE
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -204,6 +223,31 @@ def test_sharding_balances_with_a_hot_text(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_sharding_equals_the_law(spark):
+    """Rows in the order of hash and id; a shard has what has its middle in its part of all bytes; small groups are one row."""
+    import xxhash
+
+    rng = random.Random(22)
+    texts = [prose(rng, rng.randint(1, 80)) for _ in range(500)]
+    texts += [t for t in texts[:30] for _ in range(3)] + ["hot " * 40] * 300 + ["", None]
+    got = sorted((r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(documents(spark, texts), 8).collect())
+    key = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    rows = sorted((key(t), i, len((t or "").encode()) + 16) for i, t in enumerate(texts))
+    total, at, start = sum(r[2] for r in rows), 0, {}
+    group = {}
+    for h, i, size in rows:
+        start[i] = at
+        group.setdefault(h, [at, 0])[1] += size
+        at += size
+    want, slots = [], {}
+    for h, i, size in rows:
+        a, n = group[h] if group[h][1] * sharding.TOGETHER * 8 <= total else (start[i], size)
+        shard = min(7, (a + n // 2) * 8 // total)
+        want.append((i, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+    assert got == sorted(want)
+
+
 # --- substring
 
 
@@ -373,6 +417,44 @@ def test_quality_on_held_out_texts(spark):
     assert got[40] == got[41] and 0 <= got[40] <= 1
 
 
+def test_quality_scores_equal_brute_force():
+    """Buckets of words, pairs and character n-grams, one by one, averaged."""
+    rng = np.random.default_rng(5)
+    per_bucket = rng.normal(size=1 << quality.BITS).astype(np.float32)
+    texts = ["a", "", "ab  cd ab ab", "Äé 日本語 text x", "x" * 30, None, "one two two two"]
+    data, at = texts_of(pa.array(texts))
+    got = quality.logits(data, at, per_bucket, 0.25)
+
+    def word(w):
+        d, a = texts_of(pa.array([w]))
+        return int(quality.words(d, a, quality.word_bytes("space"))[0][0])
+
+    for t, z in zip(texts, got, strict=True):
+        ws = (t or "").split()
+        h = [word(w) for w in ws]
+        buckets = [x >> (64 - quality.BITS) for x in h]
+        for x, y in zip(h, h[1:], strict=False):
+            buckets.append(quality.AGAIN if x == y else int(quality.mix(np.array([(x * 3 + y) % 2**64], np.uint64))[0]) >> (64 - quality.BITS))
+        for n in (2, 3, 4):
+            for k in range(len(t or "") - n + 1):
+                g = 0
+                for c in t[k : k + n]:
+                    g = (g * 0x01000193 + ord(c)) % 2**32
+                buckets.append((g * (0x9E3779B1 + 2 * n)) % 2**32 >> (32 - quality.BITS))
+        want = (sum(float(per_bucket[b]) for b in buckets) / len(buckets) if buckets else 0) + 0.25
+        assert abs(z - want) < 1e-4
+
+
+def test_classifiers_on_empty_tables_and_null_ids(spark):
+    model, machine = quality.train([], np.zeros(0, int)), toxicity.train([], np.zeros(0))
+    some = documents(spark, ["a b", None, "a b"], [1, None, 1])
+    for f, m in ((quality.score, model), (toxicity.score, machine)):
+        assert f(some.limit(0), m).count() == 0 and f(some, m).count() == 3
+    assert licenses.scan(some.limit(0)).count() == 0
+    assert bpe.encode_documents(some.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+    assert sorted(str(r.doc_id) for r in bpe.encode_documents(some, PATH, public_tokenizers.PATTERN).collect()) == ["1", "1", "None"]
+
+
 def test_toxicity_with_gaps_and_inserted_characters(spark):
     rng = random.Random(8)
     clean = [prose(rng, 60) for _ in range(200)]
@@ -487,6 +569,28 @@ def test_licences_wrapped_over_lines(spark):
             assert part == n and texts[k][: r.start].count("\n") == r.unit
 
 
+def test_licences_told_apart_and_denied(spark):
+    notes = {
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later": ["GPL-3.0"],
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": ["AGPL-3.0"],
+        "This work is not licensed under the MIT License": [],
+        "This work was never released under the MIT License": [],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: LGPL-3.0": ["LGPL-3.0"],
+        "Licensed under the Kite License, version 2.0": [],
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": ["CC-BY-SA-4.0"],
+    }
+    found = {}
+    for r in licenses.scan(documents(spark, [f"a line\n\n{n}\n\nlast" for n in notes])).collect():
+        found.setdefault(r.doc_id, []).append(r.family)
+    assert [found.get(k, []) for k in range(len(notes))] == list(notes.values())
+
+
+def test_licence_confidences_are_about_right():
+    for _, sure, right, n in licenses.reliability(licenses.train()):
+        assert abs(sure - right) < 0.2 or n < 60
+
+
 # --- pipeline
 
 

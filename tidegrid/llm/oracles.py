@@ -2,7 +2,7 @@
 
 TOPK = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
@@ -61,6 +61,20 @@ FROM docs d LEFT JOIN sums USING (r) LEFT JOIN cuts USING (r)
 UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, false, '' FROM documents WHERE text IS NULL
 """
 
+DECONTAMINATE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win FROM b, range(1, greatest(len(ws) - 8, 2)) AS k(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+long AS (SELECT r, n, ws FROM d, sizes WHERE len(ws) >= n),
+dw AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win FROM long, range(1, len(ws) - n + 2) AS k(i)),
+hit AS (SELECT r, i, n, item_id FROM dw JOIN iw USING (n, win)),
+inside AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN inside USING (r) LEFT JOIN items USING (r)
+"""
+
 NEARDUP = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -75,4 +89,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLES = {"op5_substring_units": SUBSTRING_UNITS, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}
+ORACLES = {"op9_decontaminate": DECONTAMINATE, "op5_substring_units": SUBSTRING_UNITS, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}
