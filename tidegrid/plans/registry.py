@@ -206,7 +206,7 @@ def c8_unfinished(spark, d):
     return leakage.unfinished_bars(_master(spark, d), _series(spark, d)["4h"], "4h")
 
 
-@query("c9_grid_complete", sql.base() + " SELECT symbol, count(*) AS n, 0::BIGINT AS n_breaks, true AS complete FROM grid GROUP BY symbol")
+@query("c9_grid_complete", sql.base() + ", steps AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev FROM master) SELECT symbol, count(*) AS n, count(*) FILTER (prev IS NOT NULL AND ts <> prev + INTERVAL '1 hour') AS n_breaks, count(*) FILTER (prev IS NOT NULL AND ts <> prev + INTERVAL '1 hour') = 0 AS complete FROM steps GROUP BY symbol")
 def c9(spark, d):
     return checks.grid_complete(_master(spark, d))
 
@@ -265,7 +265,7 @@ def e4(spark, d):
     return split.sizes(_split(spark, d), {"train": 509, "test": 192}, 50, ("symbol",))
 
 
-@query("e5_leaks", SPLIT + " SELECT symbol, 0::BIGINT AS n_train_late, 0::BIGINT AS n_test_early, round(arg_min(volume_zscore_1h, ts) FILTER (split = 'test'), 6) AS first_test_value, true AS passed FROM parts GROUP BY symbol")
+@query("e5_leaks", SPLIT + f", l AS (SELECT symbol, count(*) FILTER (split = 'train' AND ts >= TIMESTAMP '{TEST_START}') AS n_train_late, count(*) FILTER (split = 'test' AND ts <= TIMESTAMP '{TRAIN_END}') AS n_test_early, round(arg_min(volume_zscore_1h, ts) FILTER (split = 'test'), 6) AS first_test_value FROM parts GROUP BY symbol) SELECT *, n_train_late = 0 AND n_test_early = 0 AND first_test_value IS NOT NULL AS passed FROM l")
 def e5(spark, d):
     return tidy(split.leaks(_split(spark, d), TRAIN_END, TEST_START, keys=("symbol",)), ["first_test_value"])
 
@@ -329,12 +329,12 @@ def f5(spark, d):
     return w.select("symbol", "anchor", "split", *_ends(w, 3))
 
 
-@query("f6_shape", WINS + " SELECT count(*) AS n, 0::BIGINT AS n_bad FROM wins")
+@query("f6_shape", WINS + " SELECT count(*) AS n, count(*) FILTER (" + " OR ".join(f"len(l_{f}) <> 48 OR len(list_filter(l_{f}, lambda v: v IS NULL OR NOT isfinite(v))) > 0" for f in FEATURES) + ") AS n_bad FROM wins")
 def f6(spark, d):
     return windows.check_shape(_raw_windows(spark, d))
 
 
-@query("f7_periods", WINS + " SELECT max(anchor) FILTER (split = 'train') AS train_last, min(anchor) FILTER (split = 'test') AS test_first, true AS passed FROM cats")
+@query("f7_periods", WINS + f" SELECT max(anchor) FILTER (split = 'train') AS train_last, min(anchor) FILTER (split = 'test') AS test_first, max(anchor) FILTER (split = 'train') <= TIMESTAMP '{TRAIN_END}' AND min(anchor) FILTER (split = 'test') >= TIMESTAMP '{TEST_START}' AS passed FROM cats")
 def f7(spark, d):
     return windows.check_periods(_windows(spark, d), TRAIN_END, TEST_START)
 
