@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ["b_report", "c3_asof", "c4_fill_gaps", "c6_master", "c8_lookahead", "d10_complete", "f8_boundary_overlap", "l2_silhouette", "l9_holm", "m10_persistence", "j6_cluster_artifact"]
+NAMES = ["b_report", "b_report_faults", "c11_master_gate", "c3_asof", "c4_fill_gaps", "c6_master", "c8_lookahead", "d10_complete", "f8_boundary_overlap", "l2_silhouette", "l9_holm", "m10_persistence", "j6_cluster_artifact"]
 
 
 @pytest.fixture(scope="module")
