@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,18 @@ def test_density_clusters_blobs_and_predicts():
     assert density.warp(x[:4], x[:4]) < 1e-5
 
 
+def test_density_labels_of_train_and_test(spark):
+    x, _ = blobs()
+    df = vectors(spark, x)
+    train, test = df.filter("id % 4 < 3"), df.filter("id % 4 = 3")
+    fit = density.cluster(x[np.arange(len(x)) % 4 < 3], 20, 5)
+    got = {(r.split, r.id): r.label for r in clustering.density_labels(train, test, 20, 5).collect()}
+    own, new = np.arange(len(x))[np.arange(len(x)) % 4 < 3], np.arange(len(x))[np.arange(len(x)) % 4 == 3]
+    want = {("train", int(i)): int(k) for i, k in zip(own, fit.labels, strict=True)} | {("test", int(i)): int(k) for i, k in zip(new, fit.predict(x[new], 5), strict=True)}
+    assert got == want
+    assert {r.label for r in clustering.density_labels(train.limit(0), test, 20, 5).collect()} == {-1}
+
+
 def test_density_grid_picks_by_silhouette_then_size(spark):
     x, _ = blobs(40)
     grid = clustering.density_grid(vectors(spark, x), (10, 20), (5,))
@@ -145,6 +158,11 @@ def test_statistics_by_hand(spark):
     assert {x.condition: round(x.p_holm, 9) for x in statistics.holm(p).collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
     rows = spark.createDataFrame([(v, k) for k, vs in enumerate(([1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0])) for v in vs], "x double, label int")
     assert abs(statistics.kruskal_wallis(rows, "x").first().h - 7.2) < 1e-9
+    many = np.random.default_rng(3).integers(-900, 900, 4000) / 7.0
+    got = statistics.average_ranks(spark.createDataFrame([(float(v),) for v in many] + [(None,)], "x double"), "x").toPandas()
+    want = pd.Series(many).rank()
+    assert len(got) == 4000 and dict(zip(got.x, got["rank"], strict=True)) == dict(zip(many, want, strict=True))
+    assert statistics.average_ranks(rows.limit(0), "x").count() == 0
     lab = spark.createDataFrame([("s", k, int(k in (2, 3, 4))) for k in range(8)], "symbol string, ts int, label int")
     assert {(r.label, r.runs, r.mean_run) for r in statistics.persistence(lab).collect()} == {(0, 2, 2.5), (1, 1, 3.0)}
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.temporal import epoch
 
+#: Parts of a ranking over all rows.
+RANK_PARTS = 256
 STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
 
 
@@ -24,11 +26,21 @@ def cluster_moments(rows: DataFrame, value: str, label: str = "label") -> DataFr
 def average_ranks(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``rank`` and ``ties``.  Values are counted first, so ranks come from running sums over distinct values and
     a very common value is one row of that pass."""
-    w = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("rank", F.sum("ties").over(upto) - (F.col("ties") - 1) / 2)
-    return rows.join(ranks, [*keys, value])
+    upto = lambda w: F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    middle = (F.col("ties") - 1) / 2
+    if keys:
+        ranks = counts.withColumn("rank", upto(Window.partitionBy(*keys).orderBy(value)) - middle)
+        return rows.join(ranks, [*keys, value])
+    # Without keys no window may hold all values: they are put in parts by quantiles, and each part adds the rows below it.
+    cuts = sorted(set(counts.approxQuantile(value, [k / RANK_PARTS for k in range(1, RANK_PARTS)], 1 / (4 * RANK_PARTS))))
+    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col(value)))
+    counts = counts.withColumn("_part", part)
+    sums = counts.groupBy("_part").agg(F.sum("ties").alias("n"))  # at most RANK_PARTS rows
+    below = sums.select("_part", (F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_below"))
+    ranks = counts.withColumn("rank", upto(Window.partitionBy("_part").orderBy(value)) - middle)
+    ranks = ranks.join(F.broadcast(below), "_part").withColumn("rank", F.col("rank") + F.col("_below")).drop("_part", "_below")
+    return rows.join(ranks, value)
 
 
 def chi2_tail(x: float, df: int) -> float:
