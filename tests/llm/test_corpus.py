@@ -197,6 +197,16 @@ def test_chat_round_trip_of_hostile_texts(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_mask_of_a_long_conversation(spark):
+    turns = [("assistant" if t % 3 else "user", "x" * (t % 5) + ("</s>" if t % 97 == 0 else "é")) for t in range(3 * chat.BLOCK_TURNS + 1)]
+    df = spark.createDataFrame([(1, t, *x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(df)
+    r = chat.read_chats(made).first()
+    assert [tuple(t) for t in r.turns] == turns and r.loss == "".join(t for role, t in turns if role == "assistant")
+    m = made.first()
+    assert m.escaped and m.round_trip and len(m["mask"]) == sum(role == "assistant" for role, _ in turns)
+
+
 # --- sharding
 
 

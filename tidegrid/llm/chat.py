@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 _RESTS = [r"s>", r"/s>", r"INST\]", r"/INST\]", r"<SYS>>", r"</SYS>>", r"\|im_start\|>", r"\|im_end\|>", r"\|endoftext\|>"]
 _REST = "(" + "|".join(_RESTS) + ")"
 BARE = r"[<\[]" + _REST
+#: Turns of a block of `loss_mask`.
+BLOCK_TURNS = 256
 TURN = "(?s)^\\[INST\\] (.*?) \\[/INST\\](.*)$"
 
 
@@ -51,16 +53,28 @@ def parse(chat: Column) -> Column:
 
 
 def loss_mask(chat: Column, assistant: str) -> Column:
-    """array<struct<start, length>>: where in the output the assistant's texts stand, in code points from 0."""
-    head = F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    """array<struct<start, length>>: where in the output the assistant's texts stand, in code points from 0.
+
+    Turns are measured in blocks, first each block's length and then the turns inside, so no array grows turn by turn over the
+    whole of a long conversation.
+    """
+    parts = _parts(chat)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(BLOCK_TURNS)), lambda k: F.slice(parts, k + 1, BLOCK_TURNS))
+    width = lambda t: F.length(t["role"]) + F.length(t["text"]) + 19
+
+    def next_start(acc, block):
+        end = acc["at"] + F.aggregate(block, F.lit(0), lambda n, t: n + width(t))
+        return F.struct(end.alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
 
     def step(acc, t):
         start = acc["at"] + F.length(t["role"]) + 15
         span = F.struct(start.alias("start"), F.length(t["text"]).alias("length"))
         spans = F.when(unescape(t["role"]) == assistant, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + F.length(t["text"]) + 4).alias("at"), spans.alias("spans"))
+        return F.struct((acc["at"] + width(t)).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(_parts(chat), head, step, lambda acc: acc["spans"])
+    starts = F.aggregate(blocks, F.struct(F.lit(3).alias("at"), F.array().cast("array<int>").alias("starts")), next_start, lambda acc: acc["starts"])
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])))
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", assistant: str = "assistant") -> DataFrame:
