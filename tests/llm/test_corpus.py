@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, decontaminate, graph, licenses, neardup, quality, sharding, substring, topk, toxicity
+from tidegrid.llm import bpe, chat, decontaminate, graph, licenses, neardup, passages, quality, sharding, substring, topk, toxicity
 from tidegrid.llm.textscan import texts_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, h long"
@@ -336,6 +336,42 @@ def test_substring_with_equal_rows_and_null_ids(spark):
     assert {r.first_doc_id for r in substring.repeats(docs).collect()} == {None}
 
 
+def brute_passages(texts):
+    """Of each text, which of its words lie in 51 words that stand earlier."""
+    seen, out = set(), []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        dead = [False] * len(w)
+        for i in range(len(w) - 50):
+            win = tuple(w[i : i + 51])
+            if win in seen:
+                dead[i : i + 51] = [True] * 51
+            seen.add(win)
+        out.append(dead)
+    return out
+
+
+def passage_texts(rng):
+    shared = [prose(rng, n) for n in (51, 52, 80, 200, 50)]
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(30)]
+    for s in shared * 3:
+        broken = "".join(x + rng.choice(["  ", "\n", " ", " "]) for x in s.split()).strip()
+        texts.append(f"{prose(rng, rng.randint(1, 90))} {broken.upper() if rng.random() < 0.3 else broken} {prose(rng, rng.randint(1, 40))}")
+    return texts + ["ein zwei drei " * 40, "so " * 300, "x " + "so " * 60, None, "", " \n", shared[3] + "é", texts[33], texts[33], prose(rng, 70)]
+
+
+def test_passages_within_longer_lines(spark):
+    texts = passage_texts(random.Random(8))
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in passages.report(docs).collect()}
+    want = brute_passages(texts)
+    assert sum(map(any, want)) > 12
+    for i, (t, dead) in enumerate(zip(texts, want, strict=True)):
+        assert (got[i].n_words, got[i].repeated_words, got[i].repeats_passage) == (len(dead), sum(dead), any(dead))
+        assert sum(len(t[s.start : s.start + s.length].split()) for s in got[i].spans) == sum(dead)
+    assert passages.report(docs.limit(0)).count() == 0
+
+
 # --- near duplicates
 
 

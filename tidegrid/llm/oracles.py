@@ -89,4 +89,16 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLES = {"op9_decontaminate": DECONTAMINATE, "op5_substring_units": SUBSTRING_UNITS, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}
+PASSAGES = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text)) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, array_to_string(ws[i:i + 50], ' ') AS win FROM d, range(1, len(ws) - 49) AS k(i) WHERE len(ws) > 50),
+late AS (SELECT r, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY r, i) > 1),
+dead AS (SELECT DISTINCT r, unnest(range(i, i + 51)) AS p FROM late),
+islands AS (SELECT r, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM dead),
+cuts AS (SELECT r, count(*) AS w FROM islands GROUP BY r, island),
+sums AS (SELECT r, sum(w)::BIGINT AS repeated_words, max(w) AS longest, count(*) AS n_passages FROM cuts GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(repeated_words, 0)::BIGINT AS repeated_words, coalesce(longest, 0)::BIGINT AS longest, coalesce(n_passages, 0)::INTEGER AS n_passages, n_passages IS NOT NULL AS repeats_passage
+FROM d LEFT JOIN sums USING (r)
+"""
+
+ORACLES = {"op5_passages": PASSAGES, "op9_decontaminate": DECONTAMINATE, "op5_substring_units": SUBSTRING_UNITS, "op1_topk": TOPK, "op3_neardup": NEARDUP, "op5_substring": SUBSTRING, "op10_chat": CHAT}

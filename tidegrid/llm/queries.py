@@ -12,7 +12,7 @@ from tidegrid.llm.decontaminate import find_matches
 from tidegrid.llm.oracles import ORACLES
 from tidegrid.llm.neardup import near_duplicates
 from tidegrid.llm.sharding import assign_shards
-from tidegrid.llm import licenses, quality, substring, toxicity
+from tidegrid.llm import licenses, passages, quality, substring, toxicity
 from tidegrid.llm.topk import top_k
 
 #: The rank file of op8 and of the pipeline's last stage.
@@ -47,6 +47,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of over 50 words that stand earlier, wherever they begin and end."""
+    found = passages.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "repeated_words", "longest", F.size("spans").alias("n_passages"), "repeats_passage")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.report(table(spark, sf_dir, "documents"))
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))))
@@ -94,7 +100,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat, "op5_substring_units": op5_substring_units}
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_passages": op5_passages, "op5_substring": op5_substring, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat, "op5_substring_units": op5_substring_units}
 
 
 def oracle_sql() -> dict[str, str]:
