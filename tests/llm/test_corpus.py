@@ -372,6 +372,14 @@ def test_passages_within_longer_lines(spark):
     assert passages.report(docs.limit(0)).count() == 0
 
 
+def test_drop_repeats_takes_passages_out_of_longer_lines(spark):
+    texts = passage_texts(random.Random(8))
+    left = {r.doc_id: r.text for r in substring.drop_repeats(documents(spark, texts)).collect()}
+    for i, (t, dead, gone) in enumerate(zip(texts, brute_passages(texts), brute_removed(texts), strict=True)):
+        words = [(k, x) for k, line in enumerate((t or "").split("\n")) for x in line.split()]
+        assert (left.get(i) or "").split() == [x for (k, x), d in zip(words, dead, strict=True) if not d and k not in gone]
+
+
 # --- near duplicates
 
 

@@ -8,6 +8,8 @@ digest, row, place) stays, and every later one goes.  The repeated digests go ba
 than a two-thousandth of all units by broadcast, the others by shuffle.
 
 Rows get a number of their own in a table in the shared folder, so that wholly equal rows are told apart in every job.
+
+Passages that stand within longer lines are no units; ``drop_repeats`` takes those from ``passages``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm import passages
 from tidegrid.llm.common import LOWER, join_hot, release, stored
 
 #: A removed stretch of more words counts as a passage in the report.
@@ -86,9 +89,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _late(_rows(docs, id_col, text_col, [])).drop("n")
 
 
+def _gone(rows: DataFrame) -> DataFrame:
+    return _late(rows).groupBy("n").agg(F.collect_list(F.struct("unit", "last")).alias("gone"))
+
+
 def _with_gone(rows: DataFrame) -> DataFrame:
-    gone = _late(rows).groupBy("n").agg(F.collect_list(F.struct("unit", "last")).alias("gone"))
-    return rows.join(gone, "n", "left")
+    return rows.join(_gone(rows), "n", "left")
 
 
 def lines_gone(gone) -> set[int]:
@@ -128,23 +134,47 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return _with_gone(_rows(docs, id_col, text_col, [])).select("doc_id", "units", "gone").mapInArrow(run, schema)
 
 
-def remove_lines(text: str, gone) -> str:
-    dead = lines_gone(gone)
-    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in dead)
+def remove_repeats(text: str, gone, whole: bool | None, late) -> str:
+    """The text without its repeated lines and passages; a line that loses all its words goes with its break."""
+    dead, cut, out, at = lines_gone(gone), passages.stretches(text, whole, late), [], 0
+    for k, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        if k not in dead:
+            while cut and cut[0][0] + cut[0][1] <= at:
+                cut.pop(0)
+            left, done = [], at
+            for start, n, _ in cut:
+                if start >= end:
+                    break
+                left.append(text[done : max(start, done)])
+                done = min(start + n, end)
+            left = "".join([*left, text[done:end]])
+            if left == line or left.strip():
+                out.append(left)
+        at = end + 1
+    return "\n".join(out)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with later copies of units taken out of their texts, and the count of characters, if there, brought up to date.
+    """``docs`` with later copies of units, and of passages anywhere in them, taken out of their texts, and the count of
+    characters, if there, brought up to date.
 
     A row of which nothing but white space is left goes; a row that loses nothing stays as it is, empty or null text too.
     """
 
-    rows = _with_gone(_rows(docs, id_col, text_col, docs.columns)).select("row", F.col("row")[text_col].cast("string").alias("text"), "gone")
+    rows = _rows(docs, id_col, text_col, docs.columns)
+    text = F.col("row")[text_col].cast("string").alias("text")
+    found, _ = passages.find(rows.select("n", "doc_id", "digest", text))
+    gone = _gone(rows).join(found, "n", "full")
+    rows = rows.join(gone, "n", "left").select("row", text, "gone", "whole", "late")
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            left = [None if g is None else remove_lines(t.as_py(), g) for t, g in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            left = []
+            for r in zip(*batch.columns[1:], strict=True):
+                now = remove_repeats(*(x.as_py() for x in r)) if r[1].is_valid or r[2].is_valid else None
+                left.append(None if r[0].is_valid and now == r[0].as_py() else now)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["row", "left"])
 
     out = rows.mapInArrow(run, f"row {kind}, left string").filter(F.col("left").isNull() | F.col("left").rlike(r"\S"))
