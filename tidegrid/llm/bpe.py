@@ -240,20 +240,30 @@ class Transducer:
         return out[::-1]
 
     def encode_all(self, texts: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each text; those up to IN_STEP bytes go through the table together."""
+        """The ids of each text; those up to IN_STEP bytes go through the table together.
+
+        A text that is a token is that token, as in tiktoken, also where merges would never make it.
+        """
         if len(self.configs) > self.most:
             self.forget()
         if len(self.apart) > self.most_apart:
             self.apart.clear()
         out: list = [None] * len(texts)
         for k, t in enumerate(texts):
-            if (whole := self.ranks.get(t)) is not None or not t:
-                out[k] = () if whole is None else (whole,)
+            if not t:
+                out[k] = ()
             elif len(t) > IN_STEP:
                 out[k] = tuple(self.stream(t))
         rest = sorted((k for k, x in enumerate(out) if x is None), key=lambda k: -len(texts[k]))
-        if not rest:
-            return out
+        if rest:
+            self._in_step(texts, rest, out)
+        for k, t in enumerate(texts):
+            if len(out[k]) > 1 and (whole := self.ranks.get(t)) is not None:
+                out[k] = (whole,)
+        return out
+
+    def _in_step(self, texts: list[bytes], rest: list[int], out: list) -> None:
+        """Fill in the ids of the texts in ``rest``, longest first."""
         data = np.frombuffer(b"".join([texts[k] for k in rest]), np.uint8)
         size = np.array([len(texts[k]) for k in rest])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -278,7 +288,6 @@ class Transducer:
         ids = self.shared[ids].tolist()  # one object for each id, however often it stands
         for k, b, n in zip(rest, end.tolist(), count.tolist(), strict=True):
             out[k] = tuple(ids[b - n : b])
-        return out
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         return self.encode_all([piece])[0]
