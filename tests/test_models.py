@@ -259,3 +259,18 @@ def test_density_takes_more_rows_than_30000(spark):
     assert len(got) == 30_105
     assert len({r.label for r in got if r.id % 2 == 0} - {-1}) == 1 and len({r.label for r in got} - {-1}) == 2
     assert [r.n_clusters for r in clustering.density_grid(rows, (5000,), (5,)).collect()] == [2]
+
+
+def test_baselines_find_axes_once_and_fit_in_few_partitions(spark, monkeypatch):
+    from tidegrid.operators import baselines
+
+    assert clustering.gathered(spark.range(10).repartition(50)).rdd.getNumPartitions() == 1
+    assert clustering.gathered(spark.range(45_000).repartition(50)).rdd.getNumPartitions() == 3
+    calls, axes = [], baselines.principal_axes
+    monkeypatch.setattr(baselines, "principal_axes", lambda *a: calls.append(a) or axes(*a))
+    monkeypatch.setattr(baselines, "KS", (2,))
+    monkeypatch.setattr(baselines, "fit_kmeans_pca", lambda rows, seed, found=None: {"centres": [[0.0], [1.0]], "mean": found[0].tolist(), "axes": found[1].tolist()})
+    rows = spark.range(40).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.array(F.col("id") * 1.0).alias("v"))
+    baselines.run_all(rows, rows, seeds=(1, 2, 3))
+    assert len(calls) == 1
+    assert baselines.hmm_labels(rows, rows, seeds=(1, 2)).select("seed").distinct().count() == 2

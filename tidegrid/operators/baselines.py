@@ -25,11 +25,12 @@ KS, AXES, STATES = (2, 3, 4, 5, 6), 10, (2, 3, 4)
 
 def principal_axes(train: DataFrame, most: int = AXES) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(means, axes as rows, shares of the variance), as many axes as the vectors are wide at most."""
-    put = train.select(array_to_vector(F.col("v").cast("array<double>")).alias("x")).persist()
+    kept = train.select(array_to_vector(F.col("v").cast("array<double>")).alias("x")).persist()
+    put = clustering.gathered(kept)
     centre = StandardScaler(inputCol="x", outputCol="c", withMean=True, withStd=False).fit(put)
     width = len(centre.mean)
     pca = PCA(k=min(most, width), inputCol="c", outputCol="p").fit(centre.transform(put))
-    put.unpersist()
+    kept.unpersist()
     return centre.mean.toArray(), pca.pc.toArray().T, pca.explainedVariance.toArray().tolist()
 
 
@@ -40,12 +41,13 @@ def on_axes(rows: DataFrame, mean: Sequence[float], axes: Sequence[Sequence[floa
     return rows.withColumn("v", F.array(*spot))
 
 
-def fit_kmeans_pca(train: DataFrame, seed: int = 42, ks: Sequence[int] = KS, most: int = AXES, restarts: int = 10) -> dict:
-    """Principal axes of the training rows (id, v), then the k of the best exact silhouette there."""
-    mean, axes, shares = principal_axes(train, most)
-    put = on_axes(train, mean, axes).persist()
+def fit_kmeans_pca(train: DataFrame, seed: int = 42, ks: Sequence[int] = KS, most: int = AXES, restarts: int = 10, found: tuple | None = None) -> dict:
+    """Principal axes of the training rows (id, v), or what is ``found`` of them, then the k of the best exact silhouette there."""
+    mean, axes, shares = found or principal_axes(train, most)
+    kept = on_axes(train, mean, axes).persist()
+    put = clustering.gathered(kept)
     k, centres, silhouettes = clustering.select_k(put, ks, seed, restarts)
-    put.unpersist()
+    kept.unpersist()
     return {"k": int(k), "mean": mean.tolist(), "axes": axes.tolist(), "shares": shares, "centres": centres.tolist(), "silhouettes": {str(n): float(s) for n, s in silhouettes.items()}}
 
 
@@ -72,7 +74,7 @@ def hmm_labels(train: DataFrame, test: DataFrame, seeds: Sequence[int] = SEEDS,
         path = lambda rows: [] if rows is None or not len(rows) else [{"ts": r["ts"], "label": int(k)} for r, k in zip(rows, m.viterbi(np.array([r["v"] for r in rows], float)), strict=True)]
         return pd.DataFrame({**{k: pdf[k][:1] for k in keys}, "seed": pdf.seed[:1], "states": pdf.states[:1], "bic": [m.bic(len(x))], "train": [path(pdf.a[0])], "test": [path(pdf.b[0])]})
 
-    fits = series.join(grid).groupBy(*keys, "seed", "states").applyInPandas(run, f"{kinds}seed int, states int, bic double, train {part}, test {part}")
+    fits = series.join(grid).repartition(clustering.FITS, *keys, "seed", "states").groupBy(*keys, "seed", "states").applyInPandas(run, f"{kinds}seed int, states int, bic double, train {part}, test {part}")
     best = fits.groupBy(*keys, "seed").agg(F.min_by(F.struct("states", "bic", "train", "test"), F.struct("bic", "states")).alias("m")).select(*keys, "seed", "m.*")
     side = lambda s: best.select(*keys, "seed", "states", "bic", F.lit(s).alias("split"), F.inline(s))
     return side("train").unionByName(side("test"))
@@ -86,8 +88,9 @@ def run_all(train: DataFrame, test: DataFrame, seeds: Sequence[int] = SEEDS, key
     parts, models = [], []
     hmm = hmm_labels(train, test, seeds, keys=keys, order=order).select(F.lit("HMM").alias("method"), *keys, "seed", "split", "ts", "label")
     own = [d.select(F.xxhash64(*keys, order).alias("id"), *keys, F.col(order).alias("ts"), F.col("v").cast("array<double>").alias("v")).persist() for d in (train, test)]
+    found = principal_axes(own[0].select("id", "v"))  # the same for every seed
     for seed in seeds:
-        model = fit_kmeans_pca(own[0].select("id", "v"), seed) | {"seed": int(seed)}
+        model = fit_kmeans_pca(own[0].select("id", "v"), seed, found=found) | {"seed": int(seed)}
         models.append(model)
         if save_to:
             save_model(train.sparkSession, model, f"{save_to}/kmpca/seed={seed}")
