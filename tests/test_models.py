@@ -274,3 +274,18 @@ def test_baselines_find_axes_once_and_fit_in_few_partitions(spark, monkeypatch):
     baselines.run_all(rows, rows, seeds=(1, 2, 3))
     assert len(calls) == 1
     assert baselines.hmm_labels(rows, rows, seeds=(1, 2)).select("seed").distinct().count() == 2
+
+
+def test_runs_are_dealt_to_partitions_of_their_own_and_train_in_single_precision(spark):
+    from tidegrid.operators import branches
+
+    x = np.random.default_rng(0).normal(size=(4, 6, 7))
+    p, _ = encoder.train(x, epochs=1, depth=2, hidden=4, out=3)
+    assert {v.dtype for v in p.values()} == {np.dtype(np.float32)}
+    g, slope = encoder.gelu_with_slope(x)
+    assert np.allclose(g, encoder.gelu(x)) and np.allclose(slope, (encoder.gelu(x + 1e-4) - encoder.gelu(x - 1e-4)) / 2e-4, atol=1e-2)
+    assert np.allclose(encoder.crossed(x, x[..., :2]), np.einsum("btc,btd->cd", x, x[..., :2]))
+    of = "named_struct(" + ", ".join(f"'{f}', array_repeat(id * 1D, 48)" for f in schema.FEATURES) + ")"
+    windows = spark.range(8).selectExpr("'1h' AS tf", "id AS anchor", f"{of} AS x")
+    runs = branches.train_branches(windows, seeds=(1, 2), epochs=1, depth=1, hidden=2, out=2)
+    assert runs.rdd.getNumPartitions() == branches.TASKS
