@@ -289,3 +289,50 @@ def test_runs_are_dealt_to_partitions_of_their_own_and_train_in_single_precision
     windows = spark.range(8).selectExpr("'1h' AS tf", "id AS anchor", f"{of} AS x")
     runs = branches.train_branches(windows, seeds=(1, 2), epochs=1, depth=1, hidden=2, out=2)
     assert runs.rdd.getNumPartitions() == branches.TASKS
+
+
+def test_a_fast_step_has_the_loss_and_slopes_of_the_plain_one():
+    from tidegrid.functions import steps
+
+    rng = np.random.default_rng(0)
+    for batch, depth, first, second, common in ((3, 4, 14, 12, 9), (3, 4, 3, 4, 3), (1, 2, 16, 16, 16), (2, 5, 1, 1, 1), (2, 3, 5, 6, 2), (2, 0, 5, 6, 2)):
+        p = {k: v.astype(np.float32) for k, v in encoder.init(7, depth, 6, 5, 1).items()}
+        views = [rng.normal(size=(batch, n, 7)).astype(np.float32) for n in (first, second)]
+        masks = [rng.random(v.shape[:2]) < 0.5 for v in views]
+        plain = {k: v.astype(float) for k, v in p.items()}
+        kept, got = ([], []), []
+        for v, m, keep in zip(views, masks, kept, strict=True):
+            got.append(encoder.forward(plain, v, m, keep))
+        loss, d1, d2 = encoder.hierarchical_loss(got[0][:, -common:], got[1][:, :common])
+        full = [np.zeros_like(g) for g in got]
+        full[0][:, -common:], full[1][:, :common] = d1, d2
+        one, two = (encoder.backward(plain, k, f) for k, f in zip(kept, full, strict=True))
+        state = steps.Steps(p, 16, batch)
+        x, show = (np.concatenate([a.swapaxes(0, 1) for a in both]) for both in (views, masks))
+        for _ in range(2):  # nothing stays in the buffers
+            assert abs(state.slopes(x, show, first, common) - loss) < 1e-5
+            g = state.named(state.g)
+            assert all(np.allclose(g[k], one[k] + two[k], atol=2e-5) for k in p)
+        before = state.named(state.p)
+        state.update(1e-3, 1e-2)
+        for k, v in state.named(state.p).items():
+            assert np.allclose(v, before[k] * (1 - 1e-5) - 1e-3 * g[k] / (np.abs(g[k]) + 1e-8), atol=1e-6)
+            assert np.allclose(v, state.named(state.mean)[k], atol=1e-6)
+
+
+def test_windows_are_encoded_in_slices_and_in_single_precision(spark):
+    from tidegrid.operators import branches
+
+    of = "named_struct(" + ", ".join(f"'{f}', transform(sequence(1, 48), k -> CAST(sin(k * (id + {j})) AS FLOAT))" for j, f in enumerate(schema.FEATURES)) + ")"
+    rows = spark.range(40).selectExpr("'s' AS symbol", "explode(array('1h', '4h')) AS tf", "id AS anchor", "'train' AS split", f"{of} AS x")
+    models = {(tf, seed): encoder.init(7, 2, 6, 5, seed + len(tf) * (tf == "4h")) for tf in ("1h", "4h") for seed in (1, 2)}
+    runs = spark.createDataFrame([("s", tf, seed, "done", encoder.to_bytes(p)) for (tf, seed), p in models.items()], "symbol string, tf string, seed int, status string, weights binary")
+    got = branches.encode_windows(rows, runs, keys=("symbol",))
+    assert got.rdd.getNumPartitions() == branches.TASKS
+    x = branches.tensor(rows.filter("tf = '1h'").orderBy("anchor").toPandas().x)
+    want = {k: encoder.pool(encoder.forward(p, x)) for k, p in models.items()}
+    got = got.collect()
+    assert len(got) == 160 == len({(r.tf, r.seed, r.anchor) for r in got})
+    assert all(np.allclose(r.e, want[r.tf, r.seed][r.anchor], atol=1e-4) for r in got)
+    p = {k: v.astype(np.float32) for k, v in models["1h", 1].items()}
+    assert np.array_equal(encoder.encode(models["1h", 1], x), encoder.encode(p, x.astype(np.float32)))
