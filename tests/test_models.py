@@ -320,6 +320,28 @@ def test_a_fast_step_has_the_loss_and_slopes_of_the_plain_one():
             assert np.allclose(v, state.named(state.mean)[k], atol=1e-6)
 
 
+def test_equal_windows_are_trained_once_and_have_a_run_each(spark):
+    from tidegrid.operators import branches
+
+    of = "named_struct(" + ", ".join(f"'{f}', transform(sequence(1, 6), k -> sin(k * (id + {j} + shift)))" for j, f in enumerate(schema.FEATURES)) + ")"
+    tfs = "explode(map('15m', 0, '1h', 0, '4h', 1)) AS (tf, shift)"
+    rows = spark.range(8).selectExpr("id", tfs).selectExpr("'s' AS symbol", "tf", "id AS anchor", f"{of} AS x")
+    sets = {r.tf: r.digest for r in branches.training_sets(rows, 10, ("symbol",)).collect()}
+    assert sets["15m"] == sets["1h"] != sets["4h"]
+    how = {"keys": ("symbol",), "epochs": 2, "depth": 1, "hidden": 2, "out": 2}
+    runs = branches.train_branches(rows, (1, 2), **how).cache()
+    got = {(r.tf, r.seed): r for r in runs.collect()}
+    assert len(got) == 6 and {r.status for r in got.values()} == {"done"}
+    for seed in (1, 2):
+        assert got["15m", seed].weights == got["1h", seed].weights != got["4h", seed].weights
+        alone = branches.train_branches(rows.filter("tf = '1h'"), (seed,), **how).first()
+        assert (alone.losses, alone.weights) == (got["1h", seed].losses, got["1h", seed].weights)
+    left = branches.train_branches(rows, (1, 2), runs.filter("tf <> '15m'"), **how)
+    assert {(r.tf, r.seed) for r in left.collect()} == {("15m", 1), ("15m", 2)}
+    many = branches.train_branches(rows, (1,), most_rows=7, **how).collect()
+    assert {(r.tf, r.status, r.error) for r in many} == {(tf, "failed", "8 windows; a run takes 7") for tf in ("15m", "1h", "4h")}
+
+
 def test_windows_are_encoded_in_slices_and_in_single_precision(spark):
     from tidegrid.operators import branches
 
